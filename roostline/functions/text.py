@@ -43,8 +43,18 @@ def parse_date(text: Column) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 of a zone-free timestamp; the sub-second part is dropped."""
-    return ts.cast("timestamp").cast("bigint")
+    """Whole seconds since 1970 of a zone-free timestamp; the sub-second part is dropped.
+
+    Built from the calendar fields, so the session's time zone has no part in it.
+    """
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def whole_seconds(ts: Column) -> Column:
+    """A zone-free timestamp without its sub-second part."""
+    of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return ts.cast("date").cast("timestamp_ntz") + F.make_dt_interval(secs=of_day)
 
 
 def iso_week(date: Column) -> Column:
@@ -54,7 +64,7 @@ def iso_week(date: Column) -> Column:
 
 def week_start(date: Column) -> Column:
     """The Monday of the week."""
-    return F.date_trunc("week", date).cast("date")
+    return F.date_sub(date, F.weekday(date))
 
 
 def day_text(date: Column) -> Column:

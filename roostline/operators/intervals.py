@@ -72,7 +72,7 @@ def interval_histogram(
         F.concat("inner", F.array(zero, bridge)).alias("parts"),
     )
     timed = parts.where(F.col("bucket").isNotNull() & (F.col("key_rows") >= min_rows))
-    day = F.timestamp_seconds(F.col("bucket") * BUCKET_SECONDS).cast("date")
+    day = F.date_from_unix_date(F.floor(F.col("bucket") * BUCKET_SECONDS / 86400).cast("int"))
     flat = timed.select(*keys, day.alias("date"), F.explode("parts").alias("p"))
     counted = flat.select(*keys, "date", "p.gap_s", "p.n").where("gap_s IS NOT NULL AND n > 0")
     group = [*keys, "date", "gap_s"] if by_date else [*keys, "gap_s"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roostline.functions.text import epoch_seconds
+from roostline.functions.text import epoch_seconds, whole_seconds
 from roostline.functions.timebins import minute_of_day
 
 SPECIES = 25
@@ -19,11 +19,10 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     """One visit per event; the species of one user in 25 is unknown."""
     number = F.col("user_id") % SPECIES
     bird = F.when(number != SPECIES - 1, F.concat(F.lit("sp"), F.lpad(number.cast("string"), 2, "0")))
-    ts = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
     return table(spark, folder, "events").select(
         "event_id",
         F.col("ts").cast("date").alias("date"),
-        ts.alias("ts"),
+        whole_seconds(F.col("ts")).alias("ts"),
         epoch_seconds(F.col("ts")).alias("sec"),
         minute_of_day(F.col("ts")).alias("minute_of_day"),
         F.col("event_type").alias("site"),
