@@ -9,6 +9,7 @@ value are null.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,35 +117,47 @@ def weekly_presence(
     )
 
 
-def _dissimilarity(a: Column, b: Column, shared: Column) -> Column:
-    """``1 - 2C / (A + B)``, null when both sides are empty."""
-    return F.when(a + b > 0, 1.0 - 2.0 * shared / (a + b))
+def _compared(
+    present: DataFrame, periods: DataFrame, period: str, keys: list[str], recent: Sequence[int], earlier: Sequence[int]
+) -> DataFrame:
+    """Dissimilarity of the species of two windows of periods, for each observed period.
 
+    ``present`` has ``(keys, period, bird)``, ``periods`` all observed ``(keys, period)``.
+    The windows are offsets into the past, counted in observed periods. Each
+    presence is handed on to the periods whose windows reach back to it, and the
+    windows are then compared species by species. Windows cut off by the start
+    count as they are; where none of ``earlier`` exists the value is null.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(period))
+    placed = periods.select(*keys, period, place.alias("place"))
+    steps = [F.struct(F.lit(i).alias("by"), F.lit(True).alias("recent")) for i in recent]
+    steps += [F.struct(F.lit(i).alias("by"), F.lit(False).alias("recent")) for i in earlier]
+    handed = present.join(placed, [*keys, period]).select(*keys, "bird", "place", F.explode(F.array(*steps)).alias("s"))
+    species = (
+        handed.groupBy(*keys, (F.col("place") + F.col("s.by")).alias("place"), "bird")
+        .agg(F.max("s.recent").alias("b"), F.max(~F.col("s.recent")).alias("a"))
+        .select(*keys, "place", F.lit(None).cast(periods.schema[period].dataType).alias(period), "a", "b")
+    )
+    # One row per observed period joins the sums, so that empty ones are kept and
+    # places past the end, which have no period, are dropped.
+    observed = placed.select(*keys, "place", period, F.lit(False).alias("a"), F.lit(False).alias("b"))
+    sums = species.unionByName(observed).groupBy(*keys, "place").agg(
+        F.max(period).alias(period),
+        F.count(F.when(F.col("a"), 1)).alias("a"),
+        F.count(F.when(F.col("b"), 1)).alias("b"),
+        F.count(F.when(F.col("a") & F.col("b"), 1)).alias("shared"),
+    )
+    reached = (F.col("place") > min(earlier)) & (F.col("a") + F.col("b") > 0)
+    value = F.when(reached, 1.0 - 2.0 * F.col("shared") / (F.col("a") + F.col("b")))
+    return sums.where(F.col(period).isNotNull()).select(*keys, period, "place", value.alias("value"))
 
-def weekly_sorensen(presence: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Dissimilarity of each observed week to the observed week before it.
 
-    Weeks get their place in the key's sequence; a species is shared when its own
-    previous week holds the place just before. The first week is null.
-    """
+def weekly_sorensen(presence: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Dissimilarity of each observed week to the observed week before it; the first is null."""
     keys = list(keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("week"))
-    weeks = presence.groupBy(*keys, "week").agg(
-        F.count(F.when(F.col("present"), 1)).alias("size")
-    ).select(*keys, "week", "size", place.alias("place"))
-    per_species = Window.partitionBy(*keys, "bird").orderBy("place")
-    stays = F.lag("place").over(per_species) == F.col("place") - 1
-    shared = (
-        presence.where("present")
-        .join(weeks.select(*keys, "week", "place"), [*keys, "week"])
-        .select(*keys, "week", stays.alias("stays"))
-        .groupBy(*keys, "week")
-        .agg(F.count(F.when(F.col("stays"), 1)).alias("shared"))
-    )
-    before = F.lag("size").over(Window.partitionBy(*keys).orderBy("place"))
-    joined = weeks.withColumn("before", before).join(shared, [*keys, "week"], "left")
-    d = _dissimilarity(F.col("before"), F.col("size"), F.coalesce("shared", F.lit(0)))
-    return joined.select(*keys, "week", "place", d.alias("sorensen"))
+    present = presence.where("present").select(*keys, "week", "bird")
+    weeks = presence.select(*keys, "week").distinct()
+    return _compared(present, weeks, "week", keys, [0], [1]).withColumnRenamed("value", "sorensen")
 
 
 def weekly_sorensen_by_date(
@@ -166,37 +179,23 @@ def consecutive_weeks(weekly: DataFrame) -> DataFrame:
 def rolling_sorensen(
     base: DataFrame, keys: Sequence[str] = SITE, width: int = 3, lag: int = 7
 ) -> DataFrame:
-    """Species of the last ``width`` observed dates against those ``lag`` observed dates earlier.
-
-    Each presence is handed on to the dates whose recent or earlier window covers
-    it, ``2 * width`` in all; the windows are then compared species by species.
-    Windows cut off by the start of the series count as they are; without any
-    earlier date the value is null.
-    """
+    """Species of the last ``width`` observed dates against those ``lag`` observed dates earlier."""
     keys = list(keys)
     known = base.where(F.col("bird").isNotNull())
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("date"))
-    dates = known.select("date", *keys).distinct().select("date", *keys, place.alias("place"))
-    present = known.where("visits > 0").select("date", *keys, "bird").join(dates, ["date", *keys])
-    offsets = F.array(*[F.lit(i) for i in range(width)], *[F.lit(lag + i) for i in range(width)])
-    handed = present.select(*keys, "bird", F.col("place"), F.explode(offsets).alias("step")).select(
-        *keys, "bird", (F.col("place") + F.col("step")).alias("place"), (F.col("step") < width).alias("recent")
-    )
-    species = handed.groupBy(*keys, "place", "bird").agg(
-        F.max("recent").alias("b"), F.max(~F.col("recent")).alias("a")
-    )
-    sums = species.groupBy(*keys, "place").agg(
-        F.count(F.when(F.col("a"), 1)).alias("a"),
-        F.count(F.when(F.col("b"), 1)).alias("b"),
-        F.count(F.when(F.col("a") & F.col("b"), 1)).alias("shared"),
-    )
-    value = F.when(F.col("place") > lag, _dissimilarity(F.col("a"), F.col("b"), F.col("shared")))
-    return dates.join(sums, [*keys, "place"], "left").select("date", *keys, value.alias("rolling_sorensen"))
+    present = known.where("visits > 0").select(*keys, "date", "bird")
+    dates = known.select(*keys, "date").distinct()
+    recent = range(width)
+    rolled = _compared(present, dates, "date", keys, recent, [lag + i for i in recent])
+    return rolled.select("date", *keys, F.col("value").alias("rolling_sorensen"))
 
 
 def merge_metrics(frames: Sequence[DataFrame], keys: Sequence[str] = ("date", "site")) -> DataFrame:
-    """Full outer join of metric tables on their common keys."""
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.join(frame, list(keys), "full")
-    return merged
+    """Full outer merge of metric tables that have one row per key.
+
+    Stacking and regrouping them is the same as a chain of full joins and takes
+    one shuffle, combined on the map side, instead of one per join.
+    """
+    keys = list(keys)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    metrics = [c for c in stacked.columns if c not in keys]
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in metrics])

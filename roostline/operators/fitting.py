@@ -8,16 +8,22 @@ its keys in NumPy; nothing goes through the driver, and the number of keys is fr
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roostline.functions import curves
+from roostline.functions.curves import LOG_FLOOR
+
+# The functions below travel to the executors themselves, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PARAMETERS = ("a1", "l1", "a2", "l2")
 FREE = (-np.inf,) * 4, (np.inf,) * 4
@@ -37,6 +43,10 @@ BREAK_BOUNDS = (0.0, 0.01, 0.0, 0.001), (1.0, 20.0, 1.0, 1.0)
 MIN_R2 = 0.5
 MIN_POINTS = 10
 
+# A fit has settled when three rounds running gain less than this share of the error,
+# the tolerance least-squares solvers commonly use.
+SETTLED_GAIN = 1e-8
+
 # Two equal components have equal derivatives; this parts them the same way every time.
 SYMMETRY_BREAK = 1e-3
 
@@ -77,7 +87,7 @@ def _model(theta, t, log_space):
     slopes = np.stack([e1, -theta[0] * t * e1, e2, -theta[2] * t * e2], axis=1)
     if not log_space:
         return f, slopes
-    g = f + curves.LOG_FLOOR
+    g = f + LOG_FLOOR
     return np.log(g), slopes / g[:, None]
 
 
@@ -92,7 +102,7 @@ def _minimise(t, weight, target, start, plan):
     cost = weight @ (target - value) ** 2
     if not np.isfinite(cost):
         return None
-    damping = 1e-3
+    damping, settled = 1e-3, 0
     for _ in range(plan.max_rounds):
         pull = slopes.T @ (weight * (target - value))
         held = ((theta <= lower) & (pull < 0)) | ((theta >= upper) & (pull > 0))
@@ -107,11 +117,10 @@ def _minimise(t, weight, target, start, plan):
         t_value, t_slopes = _model(trial, t, plan.log_space)
         t_cost = weight @ (target - t_value) ** 2
         if np.isfinite(t_cost) and np.isfinite(t_slopes).all() and t_cost <= cost:
-            moved = np.abs(trial - theta).max() / (1e-12 + np.abs(theta).max())
-            gained = cost - t_cost
+            settled = settled + 1 if cost - t_cost <= SETTLED_GAIN * cost else 0
             theta, value, slopes, cost = trial, t_value, t_slopes, t_cost
             damping = max(damping / 5.0, 1e-12)
-            if gained <= 1e-12 * cost and moved <= 1e-9:
+            if settled == 3:
                 return theta, True
         else:
             damping *= 4.0
@@ -149,7 +158,7 @@ def _fit_key(runs: pd.DataFrame, plan: FitPlan) -> tuple:
             continue
         theta = found[0]
         with np.errstate(all="ignore"):
-            fitted = _model(theta, t, False)[0] + (curves.LOG_FLOOR if plan.log_space else 0.0)
+            fitted = _model(theta, t, False)[0] + (LOG_FLOOR if plan.log_space else 0.0)
             score = 1.0 - (within + m @ (mean_y - fitted) ** 2) / spread
         if plan.min_r2 is None or score > plan.min_r2:
             return theta, float(score), number, True, None
@@ -183,12 +192,14 @@ def fit(runs: DataFrame, plan: FitPlan, keys: Sequence[str] = ("site",)) -> Data
         row = [*key, int(part["n"].iloc[0]), *values, number, converged, reason]
         return pd.DataFrame([row], columns=schema.names).astype({"start_no": "Int64"})
 
-    return data.groupBy(*keys).applyInPandas(one_key, schema)
+    # The number is stated, since by bytes AQE would put all fits into one task.
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return data.repartition(tasks, *keys).groupBy(*keys).applyInPandas(one_key, schema)
 
 
 def _curve(log_space: bool):
     value = curves.survivor(F.col("t"), *[F.col(p) for p in PARAMETERS])
-    return value + F.lit(curves.LOG_FLOOR) if log_space else value
+    return value + F.lit(LOG_FLOOR) if log_space else value
 
 
 def goodness_of_fit(
@@ -224,7 +235,7 @@ def prediction_grid(
         .select(*keys, "t_max", *PARAMETERS, F.explode(steps).alias("step"))
         .withColumn("t", F.col("step") * F.col("t_max") / F.lit(float(points - 1)))
     )
-    floor = F.lit(curves.LOG_FLOOR if log_space else 0.0)
+    floor = F.lit(LOG_FLOOR if log_space else 0.0)
     return grid.select(
         *keys,
         "step",

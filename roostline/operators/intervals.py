@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from roostline.session import staged
 
 BUCKET_SECONDS = 3600
+WHOLE = Window.unboundedPreceding, Window.unboundedFollowing
 
 
 def _bucket(sec: Column) -> Column:
@@ -68,7 +69,7 @@ def interval_histogram(
     parts = per_hour.select(
         *keys,
         "bucket",
-        F.sum("rows").over(Window.partitionBy(*keys)).alias("key_rows"),
+        F.sum("rows").over(line.rowsBetween(*WHOLE)).alias("key_rows"),
         F.concat("inner", F.array(zero, bridge)).alias("parts"),
     )
     timed = parts.where(F.col("bucket").isNotNull() & (F.col("key_rows") >= min_rows))
@@ -105,7 +106,7 @@ def interval_rows(
             *keys,
             "bucket",
             F.lag("hi").over(line).alias("previous_hi"),
-            F.sum("rows").over(Window.partitionBy(*keys)).alias("key_rows"),
+            F.sum("rows").over(line.rowsBetween(*WHOLE)).alias("key_rows"),
         )
     )
     hour = Window.partitionBy(*keys, "bucket").orderBy("sec")

@@ -20,15 +20,16 @@ def survivor_runs(histogram: DataFrame, keys: Sequence[str] = ("site",)) -> Data
     ``k_hi``. The window holds the distinct intervals of one key, whose number
     the key's time span bounds.
     """
-    key = Window.partitionBy(*keys)
-    longer = key.orderBy(F.col("gap_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*keys).orderBy(F.col("gap_s").desc())
+    longer = line.rowsBetween(Window.unboundedPreceding, 0)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = histogram.select(
         *keys,
         "gap_s",
         (F.col("gap_s") / 60.0).alias("t"),
         F.col("n").alias("m"),
         F.sum("n").over(longer).alias("k_hi"),
-        F.sum("n").over(key).alias("n"),
+        F.sum("n").over(whole).alias("n"),
     ).withColumn("k_lo", F.col("k_hi") - F.col("m") + 1)
     lo, hi, n = F.col("k_lo"), F.col("k_hi"), F.col("n")
     return ranked.select(

@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here have many columns; recording a call site for each costs more than running small queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -6,6 +6,7 @@ partition folder ``sheet=<sheet>/``.
 
 from __future__ import annotations
 
+import csv
 import re
 from urllib.parse import unquote
 
@@ -58,9 +59,10 @@ def read_layouts(spark: SparkSession, sheets: dict[str, str]) -> list[DataFrame]
     """
     layouts: dict[tuple[str, ...], list[str]] = {}
     for path in sheets.values():
-        first = spark.read.csv(_literal(path)).head()
+        first = spark.read.text(_literal(path)).head()
         if first is not None:
-            layouts.setdefault(tuple(numbered([c or "" for c in first])), []).append(path)
+            header = next(csv.reader([first.value]))
+            layouts.setdefault(tuple(numbered(header)), []).append(path)
     frames = []
     for header, paths in layouts.items():
         schema = ", ".join(f"`{c}` STRING" for c in header)

@@ -49,8 +49,8 @@ device AS (
   FROM visits WHERE bird IS NOT NULL GROUP BY 1, 2, 3)"""
 DETECTIONS = """detections AS (
   SELECT event_id AS id, ts AS timestamp,
-         CAST(29.4 AS DOUBLE) + (event_id % 140) * CAST(0.01 AS DOUBLE) AS lat,
-         CAST(-82.2 AS DOUBLE) + (user_id % 130) * CAST(0.01 AS DOUBLE) AS lon,
+         CAST(29.4 + (event_id % 140) * 0.01 AS DOUBLE) AS lat,
+         CAST(-82.2 + (user_id % 130) * 0.01 AS DOUBLE) AS lon,
          event_type AS species_common, CAST(user_id % 20 AS VARCHAR) AS station_id
   FROM events),
 boxes AS (
@@ -302,11 +302,20 @@ FROM daily WHERE bird IS NOT NULL GROUP BY 1, 2, 3""", DAILY)
 _add("county_daily_totals", f"SELECT {_D}, max(total) AS total FROM station GROUP BY date", STATION)
 _DAY_TOTALS = "day_totals AS (SELECT date, max(total) AS total FROM station GROUP BY date)"
 _add("daily_variation", """SELECT count(*) AS days, round(stddev_samp(total) / avg(total), 6) AS cv FROM day_totals""", STATION, _DAY_TOTALS)
-_add("yearly_trend", """SELECT CAST(year AS BIGINT) AS year, days, round(slope, 6) AS slope, round(r, 6) AS r,
-  round(CASE WHEN nu % 2 = 0
-    THEN 1 - sin_t * list_sum([coef * cos_t ** CAST(2 * j AS DOUBLE) FOR coef, j IN even_coef])
-    ELSE 1 - 2 / pi() * (theta + sin_t * list_sum([coef * cos_t ** CAST(2 * j + 1 AS DOUBLE) FOR coef, j IN odd_coef])) END, 6) AS p
-FROM terms""", STATION, _DAY_TOTALS)
+# Student's t in its finite trigonometric form: sin(theta) is |r|, one term per two degrees of freedom.
+_TREND = """trend AS (
+  SELECT year(date) AS year, count(*) AS days, regr_slope(total, x) AS slope, corr(total, x) AS r, count(*) - 2 AS nu
+  FROM (SELECT *, date_diff('day', min(date) OVER (PARTITION BY year(date)), date) AS x FROM day_totals)
+  GROUP BY 1 HAVING count(*) > 5),
+terms AS (
+  SELECT year, j, exp(sum(CASE WHEN j = 0 THEN 0 WHEN nu % 2 = 0 THEN ln((2 * j - 1) / (2.0 * j))
+                               ELSE ln(2.0 * j / (2 * j + 1)) END) OVER (PARTITION BY year ORDER BY j)) AS coef
+  FROM trend CROSS JOIN range(0, 400) AS g(j) WHERE j < CASE WHEN nu % 2 = 0 THEN nu // 2 ELSE (nu - 1) // 2 END)"""
+_add("yearly_trend", """SELECT CAST(t.year AS BIGINT) AS year, days, round(any_value(slope), 6) AS slope, round(any_value(r), 6) AS r,
+  round(CASE WHEN any_value(nu) % 2 = 0
+    THEN 1 - any_value(abs(r)) * sum(coef * pow(1 - r * r, j))
+    ELSE 1 - 2 / pi() * (asin(any_value(abs(r))) + any_value(abs(r)) * sum(coef * pow(1 - r * r, j + 0.5))) END, 6) AS p
+FROM trend t JOIN terms m ON m.year = t.year GROUP BY t.year, days""", STATION, _DAY_TOTALS, _TREND)
 
 # ------------------------------------------------------------ windows and time series
 _add("detection_summary", """SELECT count(DISTINCT date) AS days, count(DISTINCT date_trunc('week', date)) AS weeks,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roostline.functions.text import epoch_seconds, whole_seconds
@@ -74,8 +74,8 @@ def station_daily(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(F.col("o_orderdate").cast("date").alias("date"), species.alias("species_id"))
         .agg(F.count("*").alias("n"))
     )
-    totals = counts.groupBy("date").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "date").select("date", "species_id", "n", "total")
+    # A window of one day's species, at most.
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy("date")))
 
 
 def device_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,13 +94,12 @@ def boxes(spark: SparkSession) -> DataFrame:
 
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:
-    # DOUBLE steps on both sides: decimal literals would round differently.
-    step = F.lit(0.01)
+    # Decimal steps, so that a point on the edge of a box is exactly on it.
     return table(spark, folder, "events").select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("timestamp"),
-        (F.lit(29.4) + (F.col("event_id") % 140) * step).alias("lat"),
-        (F.lit(-82.2) + (F.col("user_id") % 130) * step).alias("lon"),
+        F.expr("CAST(29.4 + (event_id % 140) * 0.01 AS DOUBLE)").alias("lat"),
+        F.expr("CAST(-82.2 + (user_id % 130) * 0.01 AS DOUBLE)").alias("lon"),
         F.col("event_type").alias("species_common"),
         (F.col("user_id") % 20).cast("string").alias("station_id"),
     )
