@@ -38,14 +38,17 @@ def yearly_trend(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     fitted = totals.groupBy(*keys, F.year("date").alias("year")).agg(
         F.count("total").alias("days"),
         F.regr_slope(y, x).alias("slope"),
-        F.corr(y, x).alias("r0"),
+        F.covar_pop(y, x).alias("shared"),
+        F.sqrt(F.var_pop(y) * F.var_pop(x)).alias("spread"),
     )
-    r = F.coalesce(F.nanvl("r0", F.lit(0.0)), F.lit(0.0))
+    # Without any variation the correlation is zero (``corr`` would divide by zero).
+    ratio = F.col("shared") / F.nullif("spread", F.lit(0.0))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(ratio, F.lit(0.0))))
     return (
         fitted.where(F.col("days") >= MIN_TREND_DAYS)
         .withColumn("r", r)
         .withColumn("p", correlation_p_value(F.col("r"), F.col("days")))
-        .drop("r0")
+        .drop("shared", "spread")
     )
 
 
