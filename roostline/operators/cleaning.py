@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,7 +83,7 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def matrix(
-    df: DataFrame, rows: Sequence[str], columns: str, value: str, wanted: Sequence, rename: Column | None = None
+    df: DataFrame, rows: Sequence[str], columns: str, value: str, wanted: Sequence
 ) -> DataFrame:
     """Long to wide for presentation. ``wanted`` lists the columns, so the plan has a fixed width."""
     return df.groupBy(*rows).pivot(columns, list(wanted)).agg(F.first(value, ignorenulls=True))

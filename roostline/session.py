@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,14 @@ def build_session(app: str = "roostline", master: str | None = None, **conf: str
     return spark
 
 
+@functools.cache
+def _local_root() -> str:
+    """A temporary folder of this process, removed when it ends."""
+    root = tempfile.mkdtemp(prefix="roostline-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
     """A fresh folder path under the checkpoint folder that the cluster names.
 
@@ -47,7 +57,7 @@ def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), f"roostline-{os.getpid()}")
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

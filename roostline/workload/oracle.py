@@ -159,8 +159,9 @@ _add("migration_scan", """SELECT CAST(CAST(night AS TIMESTAMP) AS VARCHAR) AS mi
 _add("sheet_scan", """SELECT CAST(date AS VARCHAR) AS "Date", bird AS "Bird", strftime(ts, '%H:%M:%S') AS "Time",
   CAST(event_id % 7 AS DOUBLE) AS "LeftPecks", concat(site, '_fl') AS source_sheet,
   concat('id,', CAST(event_id AS VARCHAR)) AS "Notes" FROM visits""", VISITS)
-_add("consolidated_daily", """SELECT CAST(date AS VARCHAR) AS "Date", 'Click Daily Su' AS source_sheet, bird AS "Bird",
-  CAST(visits AS DOUBLE) AS "Feeder Visits" FROM daily WHERE site = 'click' AND bird IS NOT NULL
+_add("consolidated_daily", """SELECT CAST(date AS VARCHAR) AS "Date",
+  concat(upper(site[1]), site[2:], ', FL Daily Su') AS source_sheet, bird AS "Bird",
+  CAST(visits AS DOUBLE) AS "Feeder Visits" FROM daily WHERE site <> 'view' AND bird IS NOT NULL
 UNION ALL
 SELECT CAST(d.date AS VARCHAR), 'South daily summaries', s.bird, CAST(v.visits AS DOUBLE)
 FROM (SELECT DISTINCT date FROM daily WHERE site = 'view' AND bird IS NOT NULL) d
@@ -229,12 +230,18 @@ FROM (SELECT DISTINCT date, site FROM daily) d
 CROSS JOIN (SELECT concat('sp', lpad(CAST(i AS VARCHAR), 2, '0')) AS bird FROM range(24) AS g(i)) s
 LEFT JOIN daily v ON v.site = d.site AND v.date = d.date AND v.bird = s.bird""", DAILY)
 _BIN = "LEAST(47, minute_of_day // 30)"
-_add("bin_date_matrix", "SELECT i AS time_bin, " + GRID_CLOCK.format(minutes="i * 30") + " AS label, " + ", ".join(
-    f"""CASE WHEN EXISTS (SELECT 1 FROM visits v WHERE v.site = 'click' AND v.date = DATE '2024-01-{d:02d}')
-    THEN (SELECT count(*) FROM visits v WHERE v.site = 'click' AND v.date = DATE '2024-01-{d:02d}'
-          AND {_BIN} = i) END AS "2024-01-{d:02d}" """ for d in range(1, 8)) + " FROM range(48) AS g(i)", VISITS)
-_add("union_sites", f"""SELECT {_D}, site, bird, visits FROM daily WHERE site = 'click'
-UNION ALL SELECT CAST(date AS VARCHAR), site, NULL, visits FROM daily WHERE site = 'view'""", DAILY)
+_GRID = f"""grid AS (
+  SELECT d.site, d.date, i AS time_bin, coalesce(c.n, 0) AS n,
+         CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY d.site, d.date) AS BIGINT) AS day_total
+  FROM (SELECT DISTINCT site, date FROM visits) d CROSS JOIN range(48) AS g(i)
+  LEFT JOIN (SELECT site, date, {_BIN} AS b, count(*) AS n FROM visits GROUP BY ALL) c
+    ON c.site = d.site AND c.date = d.date AND c.b = i)"""
+_add("bin_date_matrix", "SELECT site, CAST(date_trunc('month', date) AS DATE)::VARCHAR AS month, time_bin, "
+     + GRID_CLOCK.format(minutes="time_bin * 30") + " AS label, "
+     + ", ".join(f"max(n) FILTER (WHERE day(date) = {d}) AS d{d:02d}" for d in range(1, 32))
+     + " FROM grid GROUP BY 1, 2, 3, 4", VISITS, _GRID)
+_add("union_tables", f"""SELECT {_D}, site, bird, visits, CAST(NULL AS DOUBLE) AS millions FROM daily
+UNION ALL SELECT CAST(date AS VARCHAR), site, NULL, NULL, round(millions, 6) FROM nights""", DAILY, NIGHTS)
 _add("condition_labels", """SELECT condition, strict_condition, count(*) AS n FROM (
   SELECT CASE WHEN contains(t, 'seed') AND NOT contains(t, 'extinct') THEN 'Seed' ELSE 'No Seed' END AS condition,
          CASE WHEN contains(t, 'seed') AND NOT contains(t, 'extinct') AND NOT contains(t, 'no seed')
@@ -258,12 +265,6 @@ FROM visits GROUP BY ALL""", VISITS)
 _add("short_day_bins", f"""SELECT site, {_D}, time_bin, {GRID_CLOCK.format(minutes='(time_bin + 6) * 60')} AS label, count(*) AS n
 FROM (SELECT site, date, CAST(greatest(0, least(14, minute_of_day // 60 - 6)) AS BIGINT) AS time_bin FROM visits)
 GROUP BY site, date, time_bin""", VISITS)
-_GRID = f"""grid AS (
-  SELECT d.site, d.date, i AS time_bin, coalesce(c.n, 0) AS n,
-         CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY d.site, d.date) AS BIGINT) AS day_total
-  FROM (SELECT DISTINCT site, date FROM visits) d CROSS JOIN range(48) AS g(i)
-  LEFT JOIN (SELECT site, date, {_BIN} AS b, count(*) AS n FROM visits GROUP BY ALL) c
-    ON c.site = d.site AND c.date = d.date AND c.b = i)"""
 _add("heatmap_counts", f"SELECT site, {_D}, time_bin, {GRID_CLOCK.format(minutes='time_bin * 30')} AS label, n FROM grid", VISITS, _GRID)
 _add("heatmap_proportions", f"""SELECT site, {_D}, time_bin, day_total,
   round_even(CAST(n AS DOUBLE) / day_total, 2) AS proportion FROM grid""", VISITS, _GRID)
@@ -272,16 +273,15 @@ _add("heatmap_proportions", f"""SELECT site, {_D}, time_bin, day_total,
 _add("coverage_gaps", """SELECT serial_code, CAST(CAST(d AS DATE) AS VARCHAR) AS date
 FROM (SELECT DISTINCT serial_code FROM device) k
 CROSS JOIN (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-03', INTERVAL 1 DAY)) AS d) c
-WHERE NOT EXISTS (SELECT 1 FROM device x WHERE x.serial_code = k.serial_code AND x.date = CAST(d AS DATE)
-                  AND (day(x.date) % 6 <> 0 OR x.serial_code = 'view'))""", DEVICE)
+WHERE NOT EXISTS (SELECT 1 FROM device x WHERE x.serial_code = k.serial_code AND x.date = CAST(d AS DATE))""", DEVICE)
 _add("migration_join", """SELECT CAST(t.date AS VARCHAR) AS date, t.site, t.visits, round(n.millions, 6) AS millions
 FROM totals t LEFT JOIN nights n ON n.date = t.date AND n.site = t.site AND n.date > DATE '2024-01-02'""", TOTALS, NIGHTS)
 _add("condition_in_force", f"""SELECT event_id, site, {_D}, coalesce({IN_FORCE}, 'Seed') AS condition FROM visits r""", VISITS, CHANGES)
-_add("gap_filled_series", """SELECT CAST(CAST(c.d AS DATE) AS VARCHAR) AS date, c.site, coalesce(k.visits, 0) AS visits,
+_add("gap_filled_series", """SELECT CAST(CAST(c.d AS DATE) AS VARCHAR) AS date, c.site, c.bird, coalesce(k.visits, 0) AS visits,
   CASE WHEN k.visits IS NOT NULL THEN 'seen' END AS note
-FROM (SELECT site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM kept GROUP BY site) c
-LEFT JOIN kept k ON k.site = c.site AND k.date = CAST(c.d AS DATE)""", TOTALS,
-     "kept AS (SELECT * FROM totals WHERE day(date) % 5 <> 0 OR site = 'view')")
+FROM (SELECT bird, site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d
+      FROM daily WHERE bird IS NOT NULL GROUP BY bird, site) c
+LEFT JOIN daily k ON k.bird = c.bird AND k.site = c.site AND k.date = CAST(c.d AS DATE)""", DAILY)
 _STYLES = """styles AS (
   SELECT * FROM (VALUES ('sp00', '#DC143C', '#DC143C', '#DC143C', 'o'), ('sp01', '#000000', '#FFFFFF', 'black', 'o'),
     ('sp02', '#708090', '#708090', 'black', '^'), ('sp03', '#4169E1', NULL, NULL, NULL)) AS t(bird, color, fill, edge, marker))"""

@@ -99,10 +99,11 @@ def _land_sheets(spark: SparkSession, folder: str) -> str:
     )
     total = wide.agg(F.lit("Grand Total").alias("Date"), *[F.sum(s).alias(s) for s in species])
     tables.write_csv(wide.unionByName(total), f"{path}/South daily summaries.csv")
-    long = daily.where("site = 'click'").select(
-        F.col("date").alias("Date"), F.col("bird").alias("Bird"), F.col("visits").alias("Feeder Visits")
+    sheet = F.concat(F.initcap("site"), F.lit(", FL Daily Su")).alias("sheet")
+    long = daily.where("site <> 'view'").select(
+        sheet, F.col("date").alias("Date"), F.col("bird").alias("Bird"), F.col("visits").alias("Feeder Visits")
     )
-    tables.write_csv(long, f"{path}/Click Daily Su.csv")
+    long.write.mode("append").partitionBy("sheet").option("header", True).csv(path)
     changes = v.phase_changes(spark).select(
         F.col("site").alias("LocationOfChange"),
         F.col("change_date").alias("DateChangeStarted"),
@@ -363,18 +364,18 @@ def unpivot_species(spark, folder):
 
 @query
 def bin_date_matrix(spark, folder):
-    grid = timegrid.dense_grid(v.visits(spark, folder)).where("site = 'click'")
-    days = [f"2024-01-{d:02d}" for d in range(1, 8)]
-    named = grid.withColumn("date", F.col("date").cast("string"))
-    return cleaning.matrix(named, ["time_bin", "label"], "date", "n", days)
+    """Counts by time bin and day: one block of rows per site and month, one column per day of it."""
+    grid = timegrid.dense_grid(v.visits(spark, folder))
+    by_day = grid.select("site", F.trunc("date", "month").alias("month"), "time_bin", "label", F.dayofmonth("date").alias("day"), "n")
+    wide = cleaning.matrix(by_day, ["site", "month", "time_bin", "label"], "day", "n", range(1, 32))
+    return wide.select("site", "month", "time_bin", "label", *[F.col(str(d)).alias(f"d{d:02d}") for d in range(1, 32)])
 
 
 @query
-def union_sites(spark, folder):
-    daily = v.daily(spark, folder)
-    one = daily.where("site = 'click'")
-    other = daily.where("site = 'view'").drop("bird")
-    return cleaning.union_by_name([one, other])
+def union_tables(spark, folder):
+    """Daily rows and migration nights stacked by column name."""
+    nights = analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark))
+    return cleaning.union_by_name([v.daily(spark, folder), nights])
 
 
 @query
@@ -458,7 +459,7 @@ def heatmap_proportions(spark, folder):
 
 @query
 def coverage_gaps(spark, folder):
-    observed = v.device_daily(spark, folder).where((F.dayofmonth("date") % 6 != 0) | (F.col("serial_code") == "view"))
+    observed = v.device_daily(spark, folder)
     planned = calendar.coverage(observed, "2024-01-01", "2024-02-03")
     return calendar.coverage_gaps(planned, observed)
 
@@ -478,9 +479,8 @@ def condition_in_force(spark, folder):
 
 @query
 def gap_filled_series(spark, folder):
-    totals = diversity.site_totals(v.daily(spark, folder))
-    gaps = totals.where((F.dayofmonth("date") % 5 != 0) | (F.col("site") == "view")).withColumn("note", F.lit("seen"))
-    return calendar.fill_days(gaps)
+    series = v.daily(spark, folder).where("bird IS NOT NULL").withColumn("note", F.lit("seen"))
+    return calendar.fill_days(series, ["bird", "site"])
 
 
 @query
