@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,17 +130,17 @@ def _minimise(t, weight, target, start, plan):
 
 
 def _fit_key(runs: pd.DataFrame, plan: FitPlan) -> tuple:
-    """(parameters, r2, start number, converged, reason) of one key."""
+    """(parameters, start number, converged, reason) of one key."""
     t, m = runs["t"].to_numpy(float), runs["m"].to_numpy(float)
     mean_y, total = runs["mean_y"].to_numpy(float), float(runs["n"].iloc[0])
-    target = runs["target"].to_numpy(float)
+    target = runs["mean_log"].to_numpy(float) if plan.log_space else mean_y
     if total < plan.min_points:
-        return None, None, None, False, "too few points"
+        return None, None, False, "too few points"
     rate = 1.0
     if plan.rate_scale is not None:
         mean_ivi = float(m @ t / total)
         if mean_ivi <= 0:
-            return None, None, None, False, "no feasible start"
+            return None, None, False, "no feasible start"
         rate = 1.0 / (plan.rate_scale * mean_ivi)
     within = float((m * (m * m - 1.0)).sum() / (12.0 * total * total))
     spread = (total * total - 1.0) / (12.0 * total)
@@ -161,22 +161,24 @@ def _fit_key(runs: pd.DataFrame, plan: FitPlan) -> tuple:
             fitted = _model(theta, t, False)[0] + (LOG_FLOOR if plan.log_space else 0.0)
             score = 1.0 - (within + m @ (mean_y - fitted) ** 2) / spread
         if plan.min_r2 is None or score > plan.min_r2:
-            return theta, float(score), number, True, None
+            return theta, number, True, None
         reason = "poor fit"
-    return None, None, None, False, reason
+    return None, None, False, reason
 
 
-def fit(runs: DataFrame, plan: FitPlan, keys: Sequence[str] = ("site",)) -> DataFrame:
-    """Fitted parameters per key: ``(keys, n, a1, l1, a2, l2, start_no, converged, reason)``.
+def fit_all(runs: DataFrame, plans: dict[str, FitPlan], keys: Sequence[str] = ("site",)) -> DataFrame:
+    """Fitted parameters per key and plan.
 
-    One row for every key; parameters are null where nothing was accepted.
+    ``(fit, log_space, keys, n, a1, l1, a2, l2, start_no, converged, reason)``, one
+    row for every key and plan; parameters are null where nothing was accepted.
     """
     keys = list(keys)
     lo, hi, n = F.col("k_lo"), F.col("k_hi"), F.col("n")
-    target = curves.run_mean_log(lo, hi, n) if plan.log_space else F.col("mean_y")
-    data = runs.select(*keys, "t", "m", "n", "mean_y", target.alias("target"))
+    mean_log = curves.run_mean_log(lo, hi, n) if any(p.log_space for p in plans.values()) else F.lit(None)
+    data = runs.select(*keys, "t", "m", "n", "mean_y", mean_log.cast("double").alias("mean_log"))
     schema = T.StructType(
-        [data.schema[k] for k in keys]
+        [T.StructField("fit", T.StringType()), T.StructField("log_space", T.BooleanType())]
+        + [data.schema[k] for k in keys]
         + [T.StructField("n", T.LongType())]
         + [T.StructField(p, T.DoubleType()) for p in PARAMETERS]
         + [
@@ -187,43 +189,69 @@ def fit(runs: DataFrame, plan: FitPlan, keys: Sequence[str] = ("site",)) -> Data
     )
 
     def one_key(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        theta, _, number, converged, reason = _fit_key(part.sort_values("t"), plan)
-        values = [None] * 4 if theta is None else [float(v) for v in theta]
-        row = [*key, int(part["n"].iloc[0]), *values, number, converged, reason]
-        return pd.DataFrame([row], columns=schema.names).astype({"start_no": "Int64"})
+        part = part.sort_values("t")
+        rows = []
+        for name, plan in plans.items():
+            theta, number, converged, reason = _fit_key(part, plan)
+            values = [None] * 4 if theta is None else [float(v) for v in theta]
+            rows.append([name, plan.log_space, *key, int(part["n"].iloc[0]), *values, number, converged, reason])
+        return pd.DataFrame(rows, columns=schema.names).astype({"start_no": "Int64"})
 
     # The number is stated, since by bytes AQE would put all fits into one task.
     tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return data.repartition(tasks, *keys).groupBy(*keys).applyInPandas(one_key, schema)
 
 
-def _curve(log_space: bool):
-    value = curves.survivor(F.col("t"), *[F.col(p) for p in PARAMETERS])
-    return value + F.lit(LOG_FLOOR) if log_space else value
+def fit(runs: DataFrame, plan: FitPlan, keys: Sequence[str] = ("site",)) -> DataFrame:
+    """``fit_all`` of a single plan, without its name."""
+    return fit_all(runs, {"fit": plan}, keys).drop("fit", "log_space")
 
 
-def goodness_of_fit(
-    runs: DataFrame, params: DataFrame, keys: Sequence[str] = ("site",), log_space: bool = False
+def _curve(log_space: bool | Column) -> Column:
+    """The fitted curve at ``t``; a fit in log space adds the floor under its logarithm."""
+    return curves.survivor(F.col("t"), *[F.col(p) for p in PARAMETERS]) + _floor(log_space)
+
+
+def _floor(log_space: bool | Column) -> Column:
+    flag = log_space if isinstance(log_space, Column) else F.lit(log_space)
+    return F.when(flag, F.lit(LOG_FLOOR)).otherwise(F.lit(0.0))
+
+
+def with_quality(
+    runs: DataFrame, params: DataFrame, keys: Sequence[str] = ("site",), log_space: bool | Column = False
 ) -> DataFrame:
-    """``(keys, n, r2, mae)`` of the curve in linear space, over every point of the runs."""
-    lo, hi, n = F.col("k_lo"), F.col("k_hi"), F.col("n")
+    """``params`` with ``r2`` and ``mae`` of the curve in linear space, over every point of the runs.
+
+    Both are null where there are no parameters. The fits are read once: their
+    columns are grouped by along with the keys.
+    """
+    keys = list(keys)
+    lo, hi, n = F.col("k_lo"), F.col("k_hi"), F.col("points")
     value = _curve(log_space)
-    joined = runs.join(params.select(*keys, *PARAMETERS).na.drop(), list(keys))
-    sums = joined.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.sum(curves.run_spread(lo, hi, n) + F.col("m") * F.pow(F.col("mean_y") - value, F.lit(2.0))).alias("sse"),
+    shape = runs.select(*keys, "t", "m", "k_lo", "k_hi", "mean_y", F.col("n").alias("points"))
+    off = F.pow(F.col("mean_y") - value, F.lit(2.0))
+    sums = params.join(shape, keys).groupBy(*params.columns).agg(
+        F.max("points").cast("double").alias("points"),
+        F.sum(curves.run_spread(lo, hi, n) + F.col("m") * off).alias("sse"),
         F.sum(curves.run_absolute_error(lo, hi, n, value)).alias("sae"),
     )
-    count = F.col("n").cast("double")
-    spread = (count * count - 1.0) / (12.0 * count)
+    spread = (F.col("points") * F.col("points") - 1.0) / (12.0 * F.col("points"))
     return sums.select(
-        *keys,
-        "n",
+        *params.columns,
         F.when(spread > 0, 1.0 - F.col("sse") / spread).alias("r2"),
-        (F.col("sae") / count).alias("mae"),
+        (F.col("sae") / F.col("points")).alias("mae"),
     )
 
 
+def goodness_of_fit(
+    runs: DataFrame, params: DataFrame, keys: Sequence[str] = ("site",), log_space: bool = False
+) -> DataFrame:
+    """``(keys, n, r2, mae)`` of given parameters."""
+    sizes = runs.groupBy(*keys).agg(F.max("n").alias("n"))
+    given = params.select(*keys, *PARAMETERS).na.drop().join(sizes, list(keys))
+    return with_quality(runs, given, keys, log_space).select(*keys, "n", "r2", "mae")
+
+
 def prediction_grid(
     runs: DataFrame, params: DataFrame, points: int = 200, keys: Sequence[str] = ("site",), log_space: bool = False
 ) -> DataFrame:
@@ -235,7 +263,7 @@ def prediction_grid(
         .select(*keys, "t_max", *PARAMETERS, F.explode(steps).alias("step"))
         .withColumn("t", F.col("step") * F.col("t_max") / F.lit(float(points - 1)))
     )
-    floor = F.lit(LOG_FLOOR if log_space else 0.0)
+    floor = _floor(log_space)
     return grid.select(
         *keys,
         "step",

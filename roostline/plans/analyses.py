@@ -85,17 +85,8 @@ def bout_fits(
     reads every visit.
     """
     runs = staged(survival.survivor_runs(interval_histogram(visits, keys, min_rows), keys), "runs")
-    frames = []
-    for name, plan in plans.items():
-        params = staged(fitting.fit(runs, plan, keys), "fits")
-        quality = fitting.goodness_of_fit(runs, params, keys, plan.log_space).drop("n")
-        frames.append(
-            params.join(quality, list(keys), "left").select(F.lit(name).alias("fit"), *params.columns, "r2", "mae")
-        )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    params = fitting.fit_all(runs, plans, keys)
+    return fitting.with_quality(runs, params, keys, F.col("log_space"))
 
 
 def bout_points(visits: DataFrame, changes: DataFrame, baseline: str = SEED) -> DataFrame:
