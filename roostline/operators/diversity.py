@@ -128,11 +128,16 @@ def _compared(
     windows are then compared species by species. Windows cut off by the start
     count as they are; where none of ``earlier`` exists the value is null.
     """
+    # The nulls a join would filter out go first, so that both uses below are one exchange.
+    for c in [*keys, period]:
+        periods = periods.where(F.col(c).isNotNull())
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(period))
     placed = periods.select(*keys, period, place.alias("place"))
     steps = [F.struct(F.lit(i).alias("by"), F.lit(True).alias("recent")) for i in recent]
     steps += [F.struct(F.lit(i).alias("by"), F.lit(False).alias("recent")) for i in earlier]
-    handed = present.join(placed, [*keys, period]).select(*keys, "bird", "place", F.explode(F.array(*steps)).alias("s"))
+    # Brought together by species before they multiply: what is handed on stays in its task.
+    together = present.join(placed, [*keys, period]).repartition(*keys, "bird")
+    handed = together.select(*keys, "bird", "place", F.explode(F.array(*steps)).alias("s"))
     species = (
         handed.groupBy(*keys, (F.col("place") + F.col("s.by")).alias("place"), "bird")
         .agg(F.max("s.recent").alias("b"), F.max(~F.col("s.recent")).alias("a"))

@@ -33,16 +33,18 @@ def diversity_metrics(daily: DataFrame, stage: bool = True) -> DataFrame:
     return merged.select("date", "site", "richness", "shannon_h", "sorensen", "rolling_sorensen")
 
 
-def nightly_by_site(migration: DataFrame, regions: DataFrame, after: str | None = None) -> DataFrame:
-    """Migration nights ``night, site, millions`` with regions mapped to sites.
+def nightly_by_site(
+    migration: DataFrame, regions: DataFrame, after: str | None = None, start: str = "migration_start_utc"
+) -> DataFrame:
+    """Migration nights ``date, site, millions`` with regions mapped to sites.
 
-    ``after`` is a strict lower bound on ``night``. Nights of unmapped regions
-    have no site.
+    ``after`` is a strict lower bound on the raw ``start`` column. Nights of
+    unmapped regions have no site.
     """
-    rows = since(migration, "night", after, strict=True) if after else migration
+    rows = since(migration, start, after, strict=True) if after else migration
     mapped = remap(rows, "region_name", regions)
     return mapped.select(
-        F.col("night").cast("date").alias("date"),
+        F.col(start).cast("date").alias("date"),
         F.col("region_name").alias("site"),
         (F.col("total_birds") / 1e6).alias("millions"),
     )
@@ -54,16 +56,16 @@ def migration_overlay(
     regions: DataFrame,
     changes: DataFrame,
     after: str | None = None,
-    keys: Sequence[str] = ("site",),
+    start: str = "migration_start_utc",
 ) -> DataFrame:
     """Daily site totals beside the night's migration, split at phase changes.
 
     Every night row of a day is kept, so a day with two nights appears twice.
     """
-    totals = diversity.site_totals(daily, keys)
-    nights = nightly_by_site(migration, regions, after).where(F.col("site").isNotNull())
+    totals = diversity.site_totals(daily)
+    nights = nightly_by_site(migration, regions, after, start).where(F.col("site").isNotNull())
     joined = totals.join(nights, ["date", "site"], "left")
-    return phases.segments(joined, changes, keys)
+    return phases.segments(joined, changes)
 
 
 def baseline_series(daily: DataFrame, changes: DataFrame, start: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roostline.functions.text import epoch_seconds, parse_date, visit_timestamp
 from roostline.functions.timebins import minute_of_day
+from roostline.session import staged
 from roostline.sources import schemas
 
 
@@ -72,6 +73,11 @@ def read_phase_changes(spark: SparkSession, path: str) -> DataFrame:
     return typed_phase_changes(read_csv(spark, path, schemas.PHASES_CSV))
 
 
+def identified(visits: DataFrame, id_column: str = "event_id") -> DataFrame:
+    """Visits with a unique id, written once so that every later read sees the same ids."""
+    return staged(visits.withColumn(id_column, F.monotonically_increasing_id()), "identified")
+
+
 def read_migration(spark: SparkSession, path: str) -> DataFrame:
     """Nightly migration counts: three columns reach the scan, whatever else the file holds."""
     return spark.read.parquet(path).select(

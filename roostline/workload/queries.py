@@ -330,7 +330,7 @@ def visit_timestamps(spark, folder):
 
 @query
 def migration_millions(spark, folder):
-    return analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark))
+    return analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark), start="night")
 
 
 @query
@@ -374,7 +374,7 @@ def bin_date_matrix(spark, folder):
 @query
 def union_tables(spark, folder):
     """Daily rows and migration nights stacked by column name."""
-    nights = analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark))
+    nights = analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark), start="night")
     return cleaning.union_by_name([v.daily(spark, folder), nights])
 
 
@@ -467,7 +467,7 @@ def coverage_gaps(spark, folder):
 @query
 def migration_join(spark, folder):
     totals = diversity.site_totals(v.daily(spark, folder))
-    nights = analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark), "2024-01-02")
+    nights = analyses.nightly_by_site(v.migration(spark, folder), v.region_map(spark), "2024-01-02", "night")
     return totals.join(nights, ["date", "site"], "left")
 
 
@@ -715,7 +715,8 @@ def baseline_series(spark, folder):
 @query
 def migration_overlay(spark, folder):
     return analyses.migration_overlay(
-        v.daily(spark, folder), v.migration(spark, folder), v.region_map(spark), v.phase_changes(spark), "2024-01-02"
+        v.daily(spark, folder), v.migration(spark, folder), v.region_map(spark), v.phase_changes(spark),
+        "2024-01-02", "night",
     )
 
 
