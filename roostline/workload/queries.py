@@ -85,14 +85,30 @@ def migration_scan(spark, folder):
     return tables.read_migration(spark, path)
 
 
-def _land_sheets(spark: SparkSession, folder: str) -> str:
-    """A workbook folder: visit sheets per site, a wide and a long daily sheet, phase changes."""
+def _land_phases(spark: SparkSession, path: str) -> None:
+    changes = v.phase_changes(spark).select(
+        F.col("site").alias("LocationOfChange"),
+        F.col("change_date").alias("DateChangeStarted"),
+        F.col("description").alias("DescriptionOfChange"),
+    )
+    tables.write_csv(changes, f"{path}/PhaseChanges.csv")
+
+
+def _land_visit_sheets(spark: SparkSession, folder: str) -> str:
+    """A workbook folder with a visit sheet per site and the phase changes."""
     path = scratch_dir(spark, "workbook")
     named = F.concat(F.initcap("source_sheet"), F.lit(", FL Raw Data")).alias("sheet")
     columns = [c for c in schemas.VISITS_COLUMNS if c != "source_sheet"]
     # Partition folders ``sheet=<name>`` beside sheet folders ``<name>.csv``.
     _visit_sheet(spark, folder).select(named, *columns).write.partitionBy("sheet").option("header", True).csv(path)
-    daily = v.daily(spark, folder).where("bird IS NOT NULL")
+    _land_phases(spark, path)
+    return path
+
+
+def _land_daily_sheets(spark: SparkSession, folder: str) -> str:
+    """A workbook folder with a wide daily sheet for one site, long ones for the others, and the phase changes."""
+    path = scratch_dir(spark, "workbook")
+    daily = staged(v.daily(spark, folder).where("bird IS NOT NULL"), "daily")
     species = [f"sp{i:02d}" for i in range(v.SPECIES - 1)]
     wide = cleaning.matrix(
         daily.where("site = 'view'").withColumn("Date", F.col("date").cast("string")), ["Date"], "bird", "visits", species
@@ -104,24 +120,19 @@ def _land_sheets(spark: SparkSession, folder: str) -> str:
         sheet, F.col("date").alias("Date"), F.col("bird").alias("Bird"), F.col("visits").alias("Feeder Visits")
     )
     long.write.mode("append").partitionBy("sheet").option("header", True).csv(path)
-    changes = v.phase_changes(spark).select(
-        F.col("site").alias("LocationOfChange"),
-        F.col("change_date").alias("DateChangeStarted"),
-        F.col("description").alias("DescriptionOfChange"),
-    )
-    tables.write_csv(changes, f"{path}/PhaseChanges.csv")
+    _land_phases(spark, path)
     return path
 
 
 @query
 def sheet_scan(spark, folder):
-    sheets = consolidate.raw_visits(spark, _land_sheets(spark, folder))
+    sheets = consolidate.raw_visits(spark, _land_visit_sheets(spark, folder))
     return sheets.select("Date", "Bird", "Time", "LeftPecks", "source_sheet", "Notes")
 
 
 @query
 def consolidated_daily(spark, folder):
-    return consolidate.daily_summaries(spark, _land_sheets(spark, folder))
+    return consolidate.daily_summaries(spark, _land_daily_sheets(spark, folder))
 
 
 def _land_json(df: DataFrame, label: str) -> str:
