@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,35 +37,52 @@ def build_session(app: str = "roostline", master: str | None = None, **conf: str
     return spark
 
 
-@functools.cache
-def _local_root() -> str:
-    """A temporary folder of this process, removed when it ends."""
-    root = tempfile.mkdtemp(prefix="roostline-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return root
+_areas: list[str] = []
 
 
-def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
-    """A fresh folder path under the checkpoint folder that the cluster names.
+def _root(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; where it names none, a folder in the warehouse.
+
+    Both are shared by all executors; there is no rule of its own for local mode.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    Every executor has to reach it, so a folder of this machine is used only when
-    the session names none and runs in local mode, as in tests.
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, label: str = "area") -> Iterator[str]:
+    """Owns all that is staged inside it, and deletes it at the end: write the result inside.
+
+    Without it, staged tables stay until someone cleans the scratch folder, since a query
+    is lazy and reads them later.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    area = scratch_dir(spark, label)
+    _areas.append(area)
+    try:
+        yield area
+    finally:
+        _areas.remove(area)
+        remove_folder(spark, area)
+
+
+def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
+    """A fresh folder path in the innermost open area, else in the scratch folder itself."""
+    return f"{_areas[-1] if _areas else _root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch area and read it back.
 
     For an aggregate that several branches of a plan consume: the raw table is
     scanned once, a lost executor costs a re-read and not a recompute, and the
-    planner knows the exact size of what follows.
+    planner knows the exact size of what follows. ``options`` go to the writer.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
