@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roostline.llm import decontamination, mixing, sharding
+from roostline.llm import block_naming, decontamination, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,10 +10,15 @@ QUERIES = {
         sharding.op1_shard_by_bytes,
         mixing.op3_mix_to_weights,
         decontamination.op4_decontaminate,
+        simhash.op6_simhash_near_dedup,
+        toxicity.op7_toxicity,
+        langid.op8_language_id,
+        block_naming.op9_exact_dedup,
     )
 }
 
 ORACLE_SQL = {
     "op3_mix_to_weights": mixing.OP3_SQL,
     "op4_decontaminate": decontamination.OP4_SQL,
+    "op9_exact_dedup": block_naming.OP9_SQL,
 }
