@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roostline.llm import block_naming, decontamination, langid, mixing, sharding, simhash, toxicity
+from roostline.llm import arc, block_naming, decontamination, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         sharding.op1_shard_by_bytes,
         mixing.op3_mix_to_weights,
         decontamination.op4_decontaminate,
+        arc.op5_arc_to_warc,
         simhash.op6_simhash_near_dedup,
         toxicity.op7_toxicity,
         langid.op8_language_id,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_mix_to_weights": mixing.OP3_SQL,
     "op4_decontaminate": decontamination.OP4_SQL,
+    "op5_arc_to_warc": arc.OP5_SQL,
     "op9_exact_dedup": block_naming.OP9_SQL,
 }
