@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roostline.llm import arc, block_naming, decontamination, langid, mixing, sharding, simhash, toxicity
+from roostline.llm import arc, block_naming, decontamination, langid, mixing, recompression, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         toxicity.op7_toxicity,
         langid.op8_language_id,
         block_naming.op9_exact_dedup,
+        recompression.op10_substring_dedup,
     )
 }
 
