@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from roostline.llm import arc, block_naming, decontamination, langid, mixing, recompression, sharding, simhash, toxicity
+import corpus_pipeline
+from roostline.llm import arc, block_naming, decontamination, langid, mixing, recompression, sharding, simhash, tool_links, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         sharding.op1_shard_by_bytes,
+        tool_links.op2_tool_links,
         mixing.op3_mix_to_weights,
         decontamination.op4_decontaminate,
         arc.op5_arc_to_warc,
@@ -17,7 +19,7 @@ QUERIES = {
         block_naming.op9_exact_dedup,
         recompression.op10_substring_dedup,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op3_mix_to_weights": mixing.OP3_SQL,
