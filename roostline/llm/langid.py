@@ -59,7 +59,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """``step[state + symbol]``: twice the next state's row offset, plus 1 if the longest match ended here.
+    """``step[state + symbol]``: twice the next state's row offset, plus 1 if a phrase starts with the symbol.
 
     The rows of all languages lie one after the other; ``starts`` are their start states. The last symbol
     is padding, which leaves the state alone. ``rates`` are phrases per symbol that a language needs for itself.
@@ -147,6 +147,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
         step = np.tile((start * width + offset) * 2 + 1, (len(follow), 1))
         for state, edges in enumerate(follow):
             step[state, list(edges)] = (np.array(list(edges.values()), np.int64) * width + offset) * 2
+        step[0] |= 1  # whatever comes first starts a phrase
         step[:, UNSEEN] = offset * 2 + 1
         step[:, width - 1] = (np.arange(len(follow)) * width + offset) * 2
         starts.append(offset)
