@@ -28,13 +28,25 @@ def condition_from_text(text: Column, strict: bool = False) -> Column:
     return F.when(seeded, SEED).otherwise(NO_SEED)
 
 
+CLOCK = r"^\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([AaPp][Mm])?\s*$"
+
+
+def day_seconds(time_text: Column) -> Column:
+    """Seconds since midnight of ``HH:MM``, ``HH:MM:SS`` or a twelve-hour time; null if the text is none of them.
+
+    A fraction of a second is dropped. Nothing but a whole text is read, so no time is ever shifted.
+    """
+    part = lambda i: F.nullif(F.regexp_extract(time_text, CLOCK, i), F.lit(""))
+    hour, minute = part(1).cast("int"), part(2).cast("int")
+    second = F.coalesce(part(3).cast("int"), F.lit(0))
+    half = F.lower(part(4))
+    of_24 = F.when(half.isNull() & (hour < 24), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    return F.when((minute < 60) & (second < 60), of_24 * 3600 + minute * 60 + second)
+
+
 def visit_timestamp(date: Column, time_text: Column) -> Column:
-    """Date plus ``HH:MM:SS`` as a zone-free timestamp; a null or unreadable time gives null."""
-    clock = F.regexp_extract(time_text, r"^\s*(\d{1,2}:\d{2}:\d{2})", 1)
-    padded = F.lpad(clock, 8, "0")
-    joined = F.concat_ws(" ", date.cast("date").cast("string"), padded)
-    readable = date.isNotNull() & (F.length(clock) > 0)
-    return F.when(readable, joined.try_cast("timestamp_ntz"))
+    """Date plus time of day as a zone-free timestamp; a null or unreadable part gives null."""
+    return date.cast("timestamp_ntz") + F.make_dt_interval(secs=day_seconds(time_text))
 
 
 def parse_date(text: Column) -> Column:
@@ -42,6 +54,16 @@ def parse_date(text: Column) -> Column:
     return F.trim(text).try_cast("timestamp_ntz").cast("date")
 
 
+def blank(text: Column) -> Column:
+    return text.isNull() | (F.trim(text) == "")
+
+
+def strictly(value: Column, text: Column, what: str) -> Column:
+    """``value``, and an error that shows the text where there is a text without a value."""
+    fault = F.raise_error(F.concat(F.lit(f"unreadable {what}: "), text))
+    return F.when(value.isNull() & ~blank(text), fault).otherwise(value)
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a zone-free timestamp; the sub-second part is dropped.
 

@@ -45,7 +45,7 @@ def in_period(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
 def recent(df: DataFrame, column: str, hours: int = 8, as_of: str | None = None) -> DataFrame:
     """Rows of the last ``hours`` hours before ``as_of``, by default before the newest row.
 
-    The newest time is one aggregated row, joined by range.
+    The newest time is a scalar subquery over one column.
     """
     width = F.make_dt_interval(hours=F.lit(hours))
     if as_of is not None:
@@ -65,12 +65,12 @@ def unpivot_species(
 ) -> DataFrame:
     """Species columns to rows ``(ids, Bird, Feeder Visits)``; empty cells are kept.
 
-    Every column that is neither an identifier nor skipped is a species.
+    Every column that is neither an identifier nor skipped is a species. A cell that is no number becomes empty.
     """
     quoted = {c: F.col(f"`{c}`") for c in wide.columns}
     species = [c for c in wide.columns if c not in ids and c not in skip]
     one_type = wide.select(
-        *[quoted[c] for c in ids], *[quoted[c].cast("double").alias(c) for c in species]
+        *[quoted[c] for c in ids], *[quoted[c].try_cast("double").alias(c) for c in species]
     )
     return one_type.unpivot(
         list(ids), [F.col(f"`{c}`") for c in species], "Bird", "Feeder Visits"

@@ -26,10 +26,25 @@ def raw_visits(spark: SparkSession, folder: str, word: str = "raw") -> DataFrame
     ]
     table = union_by_name(frames)
     for c in schemas.VISIT_COUNTS:
-        table = table.withColumn(c, F.col(c).cast("double"))
+        table = table.withColumn(c, F.col(c).try_cast("double"))
     return table
 
 
+def count_rejects(spark: SparkSession, folder: str, word: str = "raw") -> DataFrame:
+    """Cells of count columns that hold no number: source_sheet, column, value and how often.
+
+    ``raw_visits`` and ``daily_summaries`` leave such cells empty and keep the rest of the row.
+    """
+    frames = []
+    for sheet in read_layouts(spark, select_sheets(spark, folder, word)):
+        text = {"Date", "Bird", "Time", "Notes", "CoolDown", "source_sheet"}
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in sheet.columns if c not in text]
+        if cells:
+            frames.append(sheet.select("source_sheet", F.explode(F.array(*cells)).alias("cell")).select("source_sheet", "cell.*"))
+    bad = union_by_name(frames).where(F.col("value").isNotNull() & F.col("value").try_cast("double").isNull())
+    return bad.groupBy("source_sheet", "column", "value").agg(F.count("*").alias("n"))
+
+
 def daily_summaries(spark: SparkSession, folder: str, word: str = "daily") -> DataFrame:
     """All daily sheets as one long table.
 
@@ -41,7 +56,7 @@ def daily_summaries(spark: SparkSession, folder: str, word: str = "daily") -> Da
         if "Bird" not in sheet.columns:
             sheet = drop_subtotals(unpivot_species(sheet))
         else:
-            sheet = sheet.withColumn("Feeder Visits", F.col("`Feeder Visits`").cast("double"))
+            sheet = sheet.withColumn("Feeder Visits", F.col("`Feeder Visits`").try_cast("double"))
         frames.append(_with_columns(sheet, schemas.DAILY_COLUMNS))
     return union_by_name(frames)
 

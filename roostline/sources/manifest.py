@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roostline.sources import schemas
-from roostline.sources.nested import read_json
 
 
 def publish(
@@ -33,15 +32,32 @@ def publish(
     return f"{folder}/{relative}"
 
 
+def manifest_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``file`` and ``record`` (null where it is no record) of each JSON object in the files of a manifest.
+
+    A file may hold one object, also over several lines, an array of them, or one on each line. Files are
+    small: one per publication.
+    """
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text"))
+    schema = f"STRUCT<{', '.join(f.replace(' ', ': ', 1) for f in schemas.MANIFEST_JSON.split(', '))}>"
+    one = F.from_json("text", schema)
+    many = F.from_json("text", f"ARRAY<{schema}>")
+    lines = F.filter(F.split("text", r"\r?\n"), lambda line: F.trim(line) != "")
+    # Text after the first object of a whole file is not seen by the parser, so lines are taken where each is one.
+    by_line = F.transform(lines, lambda line: F.from_json(line, schema))
+    each_line = (F.size(lines) > 1) & F.forall(lines, lambda line: F.ltrim(line).startswith("{"))
+    records = F.when(F.col("text").startswith("["), many).when(each_line, by_line).otherwise(F.array(one))
+    return files.select("file", F.explode(F.coalesce(records, F.array(F.lit(None).cast(schema)))).alias("record"))
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """All records; a file that is not readable as JSON is skipped."""
-    records = (
-        spark.read.schema(schemas.MANIFEST_JSON)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(folder)
-    )
-    return records.where(F.col("filename").isNotNull())
+    """All records of all files; ``broken_records`` counts what is none."""
+    return manifest_documents(spark, folder).where(F.col("record.filename").isNotNull()).select("record.*")
+
+
+def broken_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with objects that are not readable or have no file name, and how many."""
+    return manifest_documents(spark, folder).where(F.col("record.filename").isNull()).groupBy("file").agg(F.count("*").alias("n"))
 
 
 def latest_records(manifest: DataFrame) -> DataFrame:
@@ -59,8 +75,3 @@ def in_publish_order(manifest: DataFrame, order: DataFrame) -> DataFrame:
 def missing_results(manifest: DataFrame, order: DataFrame) -> DataFrame:
     """Wanted names without a record."""
     return order.join(manifest.select("filename"), "filename", "left_anti")
-
-
-__all__ = [
-    "in_publish_order", "latest_records", "missing_results", "publish", "read_json", "read_manifest",
-]

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 # Consolidated visit sheet. Counts are read as DOUBLE because a sheet with an empty
 # cell writes its whole column as "3.0"; the reader casts them back to BIGINT.
-VISITS_CSV = (
-    "Date STRING, Bird STRING, Time STRING, LeftPecks DOUBLE, RightPecks DOUBLE, "
-    "LeftSeed DOUBLE, RightSeed DOUBLE, source_sheet STRING, Notes STRING, CoolDown STRING"
-)
-VISITS_COLUMNS = [
-    "Date", "Bird", "Time", "LeftPecks", "RightPecks",
-    "LeftSeed", "RightSeed", "source_sheet", "Notes", "CoolDown",
-]
+VISITS_CSV = {
+    "Date": "STRING", "Bird": "STRING", "Time": "STRING", "LeftPecks": "DOUBLE", "RightPecks": "DOUBLE",
+    "LeftSeed": "DOUBLE", "RightSeed": "DOUBLE", "source_sheet": "STRING", "Notes": "STRING", "CoolDown": "STRING",
+}
+VISITS_COLUMNS = list(VISITS_CSV)
 VISIT_COUNTS = ["LeftPecks", "RightPecks", "LeftSeed", "RightSeed"]
 
-DAILY_CSV = "Date STRING, source_sheet STRING, Bird STRING, `Feeder Visits` DOUBLE"
-DAILY_COLUMNS = ["Date", "source_sheet", "Bird", "Feeder Visits"]
+DAILY_CSV = {"Date": "STRING", "source_sheet": "STRING", "Bird": "STRING", "Feeder Visits": "DOUBLE"}
+DAILY_COLUMNS = list(DAILY_CSV)
 
-PHASES_CSV = "LocationOfChange STRING, DateChangeStarted STRING, DescriptionOfChange STRING"
+PHASES_CSV = {"LocationOfChange": "STRING", "DateChangeStarted": "STRING", "DescriptionOfChange": "STRING"}
 
 MIGRATION_COLUMNS = ["migration_start_utc", "region_name", "total_birds"]
 

@@ -6,13 +6,14 @@ partition folder ``sheet=<sheet>/``.
 
 from __future__ import annotations
 
-import csv
 import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roostline.sources.csv_files import layouts, read_files
+
 
 def _entries(spark: SparkSession, folder: str) -> dict[str, str]:
     """Sheet name -> path, from a listing that opens no file.
@@ -40,47 +41,23 @@ def select_sheets(spark: SparkSession, folder: str, word: str) -> dict[str, str]
     return {name: found[name] for name in sorted(found) if word.lower() in name.lower()}
 
 
-def numbered(header: list[str]) -> list[str]:
-    """Repeated column names get ``.1``, ``.2``, ... in order of appearance."""
-    seen: dict[str, int] = {}
-    names = []
-    for name in header:
-        again = seen.get(name, 0)
-        names.append(f"{name}.{again}" if again else name)
-        seen[name] = again + 1
-    return names
-
-
-def read_layouts(spark: SparkSession, sheets: dict[str, str]) -> list[DataFrame]:
-    """One frame per *distinct header*, each over all sheets that share it.
+def read_layouts(spark: SparkSession, sheets: dict[str, str], multi_line: bool = True) -> list[DataFrame]:
+    """One frame per *distinct header*, each over all files that share it, also when files of one sheet differ.
 
-    The plan grows with the number of layouts and not with the number of sheets.
-    All cells are strings; ``source_sheet`` names the sheet of each row.
+    Headers come from one job, and the plan grows with the number of layouts, not with the number of sheets.
+    All cells are strings; ``source_sheet`` names the sheet of each row. Cells may hold line breaks, for which
+    a file is read by one task; ``multi_line=False`` splits large files and takes each line for a row.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in sheets.values():
-        first = spark.read.text(_literal(path)).head()
-        if first is not None:
-            header = next(csv.reader([first.value]))
-            layouts.setdefault(tuple(numbered(header)), []).append(path)
+    if not sheets:
+        return []
+    paths = list(sheets.values())
     frames = []
-    for header, paths in layouts.items():
-        schema = ", ".join(f"`{c}` STRING" for c in header)
-        data = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("enforceSchema", True)
-            .csv([_literal(p) for p in paths])
-        )
+    for header, files in layouts(spark, paths).items():
+        data = read_files(spark, header, files, {}, multi_line)
         frames.append(data.withColumn("source_sheet", _sheet_of(F.col("_metadata.file_path"), paths)))
     return frames
 
 
-def _literal(path: str) -> str:
-    """Sheet names may hold characters that a path pattern would interpret."""
-    return re.sub(r"([\[\]{}*?])", r"\\\1", path)
-
-
 def _sheet_of(file_path, paths: list[str]):
     """Sheet name from a file path: the first part below the folder, decoded."""
     folder = paths[0].rsplit("/", 1)[0]

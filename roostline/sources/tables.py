@@ -7,29 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roostline.functions.text import epoch_seconds, parse_date, visit_timestamp
+from roostline.functions.text import blank, day_seconds, epoch_seconds, parse_date, strictly, visit_timestamp
 from roostline.functions.timebins import minute_of_day
 from roostline.session import staged
 from roostline.sources import schemas
+from roostline.sources.csv_files import DIALECT, read_csv
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (
-        spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    )
+def _readable(value, source: str, what: str, strict: bool):
+    return strictly(value, F.col(source), what) if strict else value
 
 
-def typed_visits(raw: DataFrame) -> DataFrame:
+def typed_visits(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Visit sheet columns to the library's names and types.
 
-    Adds ``ts`` (zone-free, whole seconds), its epoch second ``sec`` and
-    ``minute_of_day``; all three are null where the time is missing.
+    Adds ``ts`` (zone-free, whole seconds), its epoch second ``sec`` and ``minute_of_day``; all three are null
+    where the time is missing. A date or time that cannot be read fails the job; with ``strict=False``
+    it becomes null, and ``visit_rejects`` tells which rows and why.
     """
     counts = [F.col(c).cast("bigint").alias(c) for c in schemas.VISIT_COUNTS]
+    date = _readable(parse_date(F.col("Date")), "Date", "date", strict)
     ts = visit_timestamp(F.col("date"), F.col("time"))
+    if strict:
+        ts = F.when(F.col("date").isNotNull(), strictly(ts, F.col("time"), "time"))
     return (
         raw.select(
-            parse_date(F.col("Date")).alias("date"),
+            date.alias("date"),
             F.col("source_sheet").alias("site"),
             F.col("Bird").alias("bird"),
             F.col("Time").alias("time"),
@@ -43,9 +46,17 @@ def typed_visits(raw: DataFrame) -> DataFrame:
     )
 
 
-def typed_daily(raw: DataFrame) -> DataFrame:
+def visit_rejects(raw: DataFrame) -> DataFrame:
+    """The rows of a visit sheet with a date or time that cannot be read, and ``reason``: count them or mend them."""
+    no_date = parse_date(F.col("Date")).isNull() & ~blank(F.col("Date"))
+    no_time = day_seconds(F.col("Time")).isNull() & ~blank(F.col("Time"))
+    reason = F.when(no_date, "unreadable date").when(no_time, "unreadable time")
+    return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def typed_daily(raw: DataFrame, strict: bool = True) -> DataFrame:
     return raw.select(
-        parse_date(F.col("Date")).alias("date"),
+        _readable(parse_date(F.col("Date")), "Date", "date", strict).alias("date"),
         F.col("source_sheet").alias("site"),
         F.col("Bird").alias("bird"),
         F.col("Feeder Visits").cast("bigint").alias("visits"),
@@ -61,16 +72,20 @@ def typed_phase_changes(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_visits(spark: SparkSession, path: str) -> DataFrame:
-    return typed_visits(read_csv(spark, path, schemas.VISITS_CSV))
+def read_visits(spark: SparkSession, path: str, strict: bool = True, multi_line: bool = True) -> DataFrame:
+    return typed_visits(read_csv(spark, path, schemas.VISITS_CSV, multi_line), strict)
+
+
+def read_visit_rejects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return visit_rejects(read_csv(spark, path, schemas.VISITS_CSV, multi_line))
 
 
-def read_daily(spark: SparkSession, path: str) -> DataFrame:
-    return typed_daily(read_csv(spark, path, schemas.DAILY_CSV))
+def read_daily(spark: SparkSession, path: str, strict: bool = True, multi_line: bool = True) -> DataFrame:
+    return typed_daily(read_csv(spark, path, schemas.DAILY_CSV, multi_line), strict)
 
 
-def read_phase_changes(spark: SparkSession, path: str) -> DataFrame:
-    return typed_phase_changes(read_csv(spark, path, schemas.PHASES_CSV))
+def read_phase_changes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return typed_phase_changes(read_csv(spark, path, schemas.PHASES_CSV, multi_line))
 
 
 def identified(visits: DataFrame, id_column: str = "event_id") -> DataFrame:
@@ -89,7 +104,7 @@ def read_migration(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV folder with a header. Dates and timestamps keep their ISO text."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**DIALECT).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -111,6 +126,6 @@ def write_csv_per_key(df: DataFrame, path: str, key: str) -> None:
         .hint("rebalance", key)
         .write.mode("overwrite")
         .partitionBy(key)
-        .option("header", True)
+        .options(**DIALECT)
         .csv(path)
     )

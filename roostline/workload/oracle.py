@@ -151,14 +151,22 @@ def _add(name: str, body: str, *parts: str) -> None:
 _D = "CAST(date AS VARCHAR) AS date"
 
 # ---------------------------------------------------------------- sources and sinks
+_NOTE = """CASE WHEN event_id % 3 = 0 THEN concat('"first" line', chr(10), 'second, "', CAST(event_id AS VARCHAR), '"')
+  ELSE concat('said ""id, ', CAST(event_id AS VARCHAR), '"" twice') END"""
 _add("csv_scan", f"""SELECT {_D}, site, bird, strftime(ts, '%H:%M:%S') AS time, event_id % 7 AS "LeftPecks",
-  event_id % 5 AS "RightPecks", CAST(NULL AS BIGINT) AS "LeftSeed", concat('id,', CAST(event_id AS VARCHAR)) AS notes,
+  event_id % 5 AS "RightPecks", CAST(NULL AS BIGINT) AS "LeftSeed", {_NOTE} AS notes,
   CAST(ts AS VARCHAR) AS ts, minute_of_day FROM visits""", VISITS)
+_add("daily_csv_scan", f"SELECT {_D}, site, bird, visits FROM daily", DAILY)
+_add("phase_csv_scan", """SELECT site, CAST(min(date) AS VARCHAR) AS change_date, concat('Began, "', site, '"') AS description
+FROM visits GROUP BY site
+UNION ALL SELECT site, NULL, concat('Ends', chr(10), 'after ', CAST(max(date) AS VARCHAR)) FROM visits GROUP BY site""", VISITS)
+_add("visit_rejects", """SELECT CASE WHEN event_id % 5 = 0 THEN 'unreadable date' ELSE 'unreadable time' END AS reason, count(*) AS n
+FROM visits WHERE event_id % 5 = 0 OR event_id % 7 < 2 GROUP BY 1""", VISITS)
 _add("migration_scan", """SELECT CAST(CAST(night AS TIMESTAMP) AS VARCHAR) AS migration_start_utc, region_name,
   CAST(total_birds AS DOUBLE) AS total_birds FROM migration""", MIGRATION)
-_add("sheet_scan", """SELECT CAST(date AS VARCHAR) AS "Date", bird AS "Bird", strftime(ts, '%H:%M:%S') AS "Time",
+_add("sheet_scan", f"""SELECT CAST(date AS VARCHAR) AS "Date", bird AS "Bird", strftime(ts, '%H:%M:%S') AS "Time",
   CAST(event_id % 7 AS DOUBLE) AS "LeftPecks", concat(site, '_fl') AS source_sheet,
-  concat('id,', CAST(event_id AS VARCHAR)) AS "Notes" FROM visits""", VISITS)
+  {_NOTE} AS "Notes" FROM visits""", VISITS)
 _add("consolidated_daily", """SELECT CAST(date AS VARCHAR) AS "Date",
   concat(upper(site[1]), site[2:], ', FL Daily Su') AS source_sheet, bird AS "Bird",
   CAST(visits AS DOUBLE) AS "Feeder Visits" FROM daily WHERE site <> 'view' AND bird IS NOT NULL
@@ -215,7 +223,8 @@ WHERE site = 'click' AND (bird IS NULL OR bird NOT IN ('sp01', 'sp02'))""", VISI
 _add("positive_visits", f"SELECT {_D}, site, bird, visits FROM daily WHERE visits > 0", DAILY)
 _add("text_dates", """SELECT event_id, site, CASE WHEN event_id % 3 <> 0 THEN CAST(date AS VARCHAR) END AS date
 FROM visits""", VISITS)
-_add("visit_timestamps", """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(ts AS VARCHAR) END AS ts
+_add("visit_timestamps", """SELECT event_id, CASE WHEN event_id % 10 = 1 THEN CAST(date_trunc('minute', ts) AS VARCHAR)
+  WHEN event_id % 10 NOT IN (0, 3) THEN CAST(ts AS VARCHAR) END AS ts
 FROM visits""", VISITS)
 _add("migration_millions", "SELECT CAST(date AS VARCHAR) AS date, site, round(millions, 6) AS millions FROM nights", NIGHTS)
 _add("log_offset", f"SELECT {_D}, site, visits + 1 AS visits_plus_one FROM totals", TOTALS)

@@ -21,6 +21,7 @@ from roostline.operators.geo import within_boxes
 from roostline.plans import analyses, consolidate
 from roostline.session import scratch_dir, staged
 from roostline.sources import manifest, nested, schemas, tables
+from roostline.sources.csv_files import DIALECT
 from roostline.workload import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 # ---------------------------------------------------------------- sources and sinks
 
 
+def _note(event_id):
+    """A cell with commas, quotes and, in one of three, a line break."""
+    number = event_id.cast("string")
+    lines = F.when(event_id % 3 == 0, F.concat(F.lit('"first" line\nsecond, "'), number, F.lit('"')))
+    return F.coalesce(lines, F.concat(F.lit('said ""id, '), number, F.lit('"" twice')))
+
+
 def _visit_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Visits in the columns of a visit sheet."""
     none = F.lit(None)
@@ -63,20 +71,69 @@ def _visit_sheet(spark: SparkSession, folder: str) -> DataFrame:
         none.cast("bigint").alias("LeftSeed"),
         none.cast("bigint").alias("RightSeed"),
         F.col("site").alias("source_sheet"),
-        F.concat(F.lit("id,"), F.col("event_id").cast("string")).alias("Notes"),
+        _note(F.col("event_id")).alias("Notes"),
         none.cast("string").alias("CoolDown"),
     )
 
 
+def _land_visits(spark: SparkSession, folder: str) -> str:
+    """Visits as CSV in two folders whose files have their columns in different orders."""
+    path = scratch_dir(spark, "visits-csv")
+    sheet = _visit_sheet(spark, folder)
+    even = F.col("LeftPecks") % 2 == 0
+    tables.write_csv(sheet.where(even), f"{path}/even")
+    tables.write_csv(sheet.where(~even).select(*reversed(sheet.columns)), f"{path}/odd")
+    return path
+
+
 @query
 def csv_scan(spark, folder):
-    path = scratch_dir(spark, "visits-csv")
-    tables.write_csv(_visit_sheet(spark, folder), path)
-    return tables.read_visits(spark, path).select(
+    return tables.read_visits(spark, _land_visits(spark, folder)).select(
         "date", "site", "bird", "time", "LeftPecks", "RightPecks", "LeftSeed", "notes", "ts", "minute_of_day"
     )
 
 
+@query
+def daily_csv_scan(spark, folder):
+    path = scratch_dir(spark, "daily-csv")
+    columns = F.col("date").alias("Date"), F.col("bird").alias("Bird"), F.col("site").alias("source_sheet"), F.col("visits").alias("Feeder Visits")
+    tables.write_csv(v.daily(spark, folder).select(*columns), path)
+    return tables.read_daily(spark, path)
+
+
+@query
+def phase_csv_scan(spark, folder):
+    """The first and last day of each site as changes; a text that is no date gives null."""
+    path = scratch_dir(spark, "phases-csv")
+    days = v.visits(spark, folder).groupBy("site").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    first = days.select(
+        F.concat(F.lit('Began, "'), "site", F.lit('"')).alias("DescriptionOfChange"), F.concat(F.lit(" "), "site").alias("LocationOfChange"),
+        F.col("lo").cast("string").alias("DateChangeStarted"),
+    )
+    last = days.select(
+        F.concat(F.lit("Ends\nafter "), F.col("hi").cast("string")).alias("DescriptionOfChange"), F.col("site").alias("LocationOfChange"),
+        F.lit("soon").alias("DateChangeStarted"),
+    )
+    tables.write_csv(first.unionByName(last), path)
+    return tables.read_phase_changes(spark, path)
+
+
+@query
+def visit_rejects(spark, folder):
+    """Rows per reason whose date or time cannot be read, from sheets with several spellings of both."""
+    path = scratch_dir(spark, "visits-csv")
+    sheet = _visit_sheet(spark, folder)
+    number = F.regexp_extract("Notes", r"(\d+)", 1).cast("bigint")
+    clock = F.concat(F.lit("1970-01-01 "), "Time").cast("timestamp_ntz")
+    spelled = (
+        F.when(number % 7 == 0, "noon").when(number % 7 == 1, "25:10:00").when(number % 7 == 2, F.date_format(clock, "h:mm:ss a"))
+        .when(number % 7 == 3, F.date_format(clock, "H:mm")).when(number % 7 == 4, " ").otherwise(F.col("Time"))
+    )
+    day = F.when(number % 5 == 0, F.date_format("Date", "MM/dd/yyyy")).otherwise(F.col("Date").cast("string"))
+    tables.write_csv(sheet.withColumns({"Time": spelled, "Date": day}), path)
+    return tables.read_visit_rejects(spark, path).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query
 def migration_scan(spark, folder):
     path = scratch_dir(spark, "migration")
@@ -100,7 +157,11 @@ def _land_visit_sheets(spark: SparkSession, folder: str) -> str:
     named = F.concat(F.initcap("source_sheet"), F.lit(", FL Raw Data")).alias("sheet")
     columns = [c for c in schemas.VISITS_COLUMNS if c != "source_sheet"]
     # Partition folders ``sheet=<name>`` beside sheet folders ``<name>.csv``.
-    _visit_sheet(spark, folder).select(named, *columns).write.partitionBy("sheet").option("header", True).csv(path)
+    sheet = _visit_sheet(spark, folder).select(named, *columns)
+    # The files of one sheet differ in the order of their columns.
+    even = F.col("LeftPecks") % 2 == 0
+    for part in (sheet.where(even), sheet.where(~even).select(*reversed(sheet.columns))):
+        part.write.mode("append").partitionBy("sheet").options(**DIALECT).csv(path)
     _land_phases(spark, path)
     return path
 
@@ -119,7 +180,7 @@ def _land_daily_sheets(spark: SparkSession, folder: str) -> str:
     long = daily.where("site <> 'view'").select(
         sheet, F.col("date").alias("Date"), F.col("bird").alias("Bird"), F.col("visits").alias("Feeder Visits")
     )
-    long.write.mode("append").partitionBy("sheet").option("header", True).csv(path)
+    long.write.mode("append").partitionBy("sheet").options(**DIALECT).csv(path)
     _land_phases(spark, path)
     return path
 
@@ -334,7 +395,13 @@ def text_dates(spark, folder):
 @query
 def visit_timestamps(spark, folder):
     raw = v.visits(spark, folder).select(
-        "event_id", "date", F.when(F.col("event_id") % 10 != 0, F.date_format("ts", "HH:mm:ss")).alias("time")
+        "event_id",
+        "date",
+        F.when(F.col("event_id") % 10 == 1, F.date_format("ts", "H:mm"))
+        .when(F.col("event_id") % 10 == 2, F.date_format("ts", "h:mm:ss a"))
+        .when(F.col("event_id") % 10 == 3, F.concat(F.date_format("ts", "HH:mm:ss"), F.lit("h")))
+        .when(F.col("event_id") % 10 != 0, F.date_format("ts", "HH:mm:ss"))
+        .alias("time"),
     )
     return raw.select("event_id", text.visit_timestamp(F.col("date"), F.col("time")).alias("ts"))
 
