@@ -13,9 +13,9 @@ from roostline.functions.text import week_start
 MIN_TREND_DAYS = 6
 
 
-def daily_totals(counts: DataFrame) -> DataFrame:
-    """The day's total, the largest where several pulls reported one."""
-    return counts.groupBy("date").agg(F.max("total").alias("total"))
+def daily_totals(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The day's total per key, the largest where several pulls reported one."""
+    return counts.groupBy(*keys, "date").agg(F.max("total").alias("total"))
 
 
 def variation(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -52,14 +52,14 @@ def yearly_trend(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def summary(counts: DataFrame, species: str = "species_id") -> DataFrame:
-    """Distinct days, weeks and species, and the number of detections.
+def summary(counts: DataFrame, species: str = "species_id", keys: Sequence[str] = ()) -> DataFrame:
+    """Per key: distinct days, weeks and species, and the number of detections.
 
     Rows are first summed per day and species, so the distinct counts expand that
     small table and not the detections.
     """
-    cells = counts.groupBy("date", species).agg(F.sum("n").alias("n"))
-    return cells.agg(
+    cells = counts.groupBy(*keys, "date", species).agg(F.sum("n").alias("n"))
+    return cells.groupBy(*keys).agg(
         F.countDistinct("date").alias("days"),
         F.countDistinct(week_start(F.col("date"))).alias("weeks"),
         F.countDistinct(species).alias("species"),

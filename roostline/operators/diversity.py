@@ -3,7 +3,8 @@
 Input is ``daily``: ``date, site, bird, visits``. Presence stays in rows
 (site, period, species) throughout: species sets are never gathered into arrays,
 so neither a rich site nor a long period makes a large group. Ratios that have no
-value are null.
+value are null. The dissimilarities need their input more than once, so they stage it
+unless it is staged already.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roostline.functions.text import iso_week, week_start
+from roostline.session import once
 
 SITE = ("site",)
 
@@ -159,7 +161,7 @@ def _compared(
 
 def weekly_sorensen(presence: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     """Dissimilarity of each observed week to the observed week before it; the first is null."""
-    keys = list(keys)
+    keys, presence = list(keys), once(presence, "presence")
     present = presence.where("present").select(*keys, "week", "bird")
     weeks = presence.select(*keys, "week").distinct()
     return _compared(present, weeks, "week", keys, [0], [1]).withColumnRenamed("value", "sorensen")
@@ -169,6 +171,7 @@ def weekly_sorensen_by_date(
     base: DataFrame, keys: Sequence[str] = SITE, week_key: str = "iso_week", complete_only: bool = True
 ) -> DataFrame:
     """Weekly dissimilarity, repeated on every observed date of its week."""
+    base = once(base, "species-days")
     week = week_start(F.col("date")) if week_key == "week_start" else iso_week(F.col("date"))
     weekly = weekly_sorensen(weekly_presence(base, keys, week_key, complete_only), keys)
     dates = base.where("any_complete") if complete_only else base
@@ -185,7 +188,7 @@ def rolling_sorensen(
     base: DataFrame, keys: Sequence[str] = SITE, width: int = 3, lag: int = 7
 ) -> DataFrame:
     """Species of the last ``width`` observed dates against those ``lag`` observed dates earlier."""
-    keys = list(keys)
+    keys, base = list(keys), once(base, "species-days")
     known = base.where(F.col("bird").isNotNull())
     present = known.where("visits > 0").select(*keys, "date", "bird")
     dates = known.select(*keys, "date").distinct()

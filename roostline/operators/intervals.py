@@ -48,38 +48,48 @@ def interval_histogram(
     )
     hour = Window.partitionBy(*keys, "bucket").orderBy("sec")
     gaps = ticks.withColumn("gap_s", F.col("sec") - F.lag("sec").over(hour))
-    # Per hour: its gaps (at most 85 distinct ones and a null), first and last second.
-    # Both aggregations keep the partitioning of the window, so neither shuffles.
-    per_gap = gaps.groupBy(*keys, "bucket", "gap_s").agg(
-        F.count("*").alias("n"), F.sum("n").alias("rows"), F.min("sec").alias("lo"), F.max("sec").alias("hi")
-    )
-    per_hour = per_gap.groupBy(*keys, "bucket").agg(
-        F.collect_list(F.when(F.col("gap_s").isNotNull(), F.struct("gap_s", "n"))).alias("inner"),
-        F.sum("rows").alias("rows"),
-        F.sum("n").alias("seconds"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
+    # Per hour and gap within it (at most 85 distinct ones and a null). The aggregation keeps the
+    # partitioning of the window and does not shuffle. Written, since the hours and the gaps both come from it.
+    per_gap = staged(
+        gaps.groupBy(*keys, "bucket", "gap_s").agg(
+            F.count("*").alias("n"), F.sum("n").alias("rows"), F.min("sec").alias("lo"), F.max("sec").alias("hi")
+        ),
+        "gaps",
     )
     # Visits without a time form the null bucket. It sorts first and its ``hi`` is null.
-    line = Window.partitionBy(*keys).orderBy("bucket")
-    zero = F.struct(F.lit(0).cast("bigint").alias("gap_s"), (F.col("rows") - F.col("seconds")).alias("n"))
-    bridge = F.struct(
-        (F.col("lo") - F.lag("hi").over(line)).alias("gap_s"), F.lit(1).cast("bigint").alias("n")
-    )
-    parts = per_hour.select(
-        *keys,
-        "bucket",
-        F.sum("rows").over(line.rowsBetween(*WHOLE)).alias("key_rows"),
-        F.concat("inner", F.array(zero, bridge)).alias("parts"),
+    hours = _lined(
+        per_gap.groupBy(*keys, "bucket").agg(
+            F.sum("rows").alias("rows"), F.sum("n").alias("seconds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        ),
+        keys,
     )
-    timed = parts.where(F.col("bucket").isNotNull() & (F.col("key_rows") >= min_rows))
+    one = F.lit(1).cast("bigint")
+    timed = hours.where(F.col("bucket").isNotNull() & (F.col("key_rows") >= min_rows))
+    bridges = timed.select(*keys, "bucket", (F.col("lo") - F.col("previous_hi")).alias("gap_s"), one.alias("n"))
+    zeros = timed.select(*keys, "bucket", F.lit(0).cast("bigint").alias("gap_s"), (F.col("rows") - F.col("seconds")).alias("n"))
+    inner = per_gap.select(*keys, "bucket", "gap_s", "n")
+    if min_rows:
+        inner = inner.join(_small(hours, keys, min_rows), keys, "left_anti")
     day = F.date_from_unix_date(F.floor(F.col("bucket") * BUCKET_SECONDS / 86400).cast("int"))
-    flat = timed.select(*keys, day.alias("date"), F.explode("parts").alias("p"))
-    counted = flat.select(*keys, "date", "p.gap_s", "p.n").where("gap_s IS NOT NULL AND n > 0")
-    group = [*keys, "date", "gap_s"] if by_date else [*keys, "gap_s"]
+    counted = inner.unionByName(bridges).unionByName(zeros).where("gap_s IS NOT NULL AND n > 0")
+    group = [*keys, day.alias("date"), "gap_s"] if by_date else [*keys, "gap_s"]
+    # Summed up before the shuffle, so a hot key's gaps come from all tasks and meet as sums.
     return counted.groupBy(*group).agg(F.sum("n").alias("n"))
 
 
+def _lined(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """One slim row per key and hour, with the last second before it and the rows of its key."""
+    line = Window.partitionBy(*keys).orderBy("bucket")
+    return hours.withColumns(
+        {"previous_hi": F.lag("hi").over(line), "key_rows": F.sum("rows").over(line.rowsBetween(*WHOLE))}
+    )
+
+
+def _small(hours: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
+    """The keys to leave out, of which each has few rows."""
+    return hours.where(F.col("key_rows") < min_rows).select(*keys).distinct()
+
+
 def interval_rows(
     visits: DataFrame, keys: Sequence[str] = ("site",), id_column: str = "event_id", min_rows: int = 0
 ) -> DataFrame:
@@ -98,32 +108,19 @@ def interval_rows(
         .withColumn("bucket", _bucket(F.col("sec"))),
         "ticks",
     )
-    line = Window.partitionBy(*keys).orderBy("bucket")
-    hours = (
-        ticks.groupBy(*keys, "bucket")
-        .agg(F.max("sec").alias("hi"), F.sum("n").alias("rows"))
-        .select(
-            *keys,
-            "bucket",
-            F.lag("hi").over(line).alias("previous_hi"),
-            F.sum("rows").over(line.rowsBetween(*WHOLE)).alias("key_rows"),
-        )
-    )
+    hours = _lined(ticks.groupBy(*keys, "bucket").agg(F.max("sec").alias("hi"), F.sum("n").alias("rows")), keys)
     hour = Window.partitionBy(*keys, "bucket").orderBy("sec")
     inside = ticks.where(F.col("sec").isNotNull()).withColumn("previous", F.lag("sec").over(hour))
     firsts = inside.join(hours, [*keys, "bucket"]).select(
         F.col("first_id").alias(id_column),
-        F.col("key_rows"),
         (F.col("sec") - F.coalesce("previous", "previous_hi")).alias("__gap"),
         F.lit(True).alias("__first"),
     )
-    # A whole key is dropped by its size, so the guard needs the key's row count on every row.
     timed = seen.where(F.col("sec").isNotNull())
     if min_rows:
-        large = hours.where(F.col("key_rows") >= min_rows).select(*keys).distinct()
-        timed = timed.join(large, keys, "left_semi")
+        timed = timed.join(_small(hours, keys, min_rows), keys, "left_anti")
     gap = F.when(F.col("__first"), F.col("__gap")).otherwise(F.lit(0).cast("bigint"))
-    joined = timed.join(firsts.drop("key_rows"), id_column, "left").select(*visits.columns, gap.alias("gap_s"))
+    joined = timed.join(firsts, id_column, "left").select(*visits.columns, gap.alias("gap_s"))
     return joined.where(F.col("gap_s").isNotNull()).withColumn("ivi_minutes", F.col("gap_s") / 60.0)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roostline.functions.text import SEED, condition_from_text, midpoint
+from roostline.session import once, staged
 
 
 def _dated(changes: DataFrame) -> DataFrame:
@@ -73,16 +74,18 @@ def segments(
     """Number the runs of each series between phase changes from one, skipping empty ones.
 
     ``raw_segment`` counts the change dates passed, ``segment`` the non-empty runs.
-    Meant for day-level series: the window holds one series' days.
     """
     spans = intervals(changes).withColumnRenamed("segment", "raw_segment")
-    numbered = _joined(series, spans, ["raw_segment"], date)
     raw = F.when(F.col(date).isNotNull(), F.coalesce("raw_segment", F.lit(0)))
-    dated = F.col("raw_segment").isNotNull()
-    w = Window.partitionBy(*keys, dated).orderBy("raw_segment")
-    return numbered.withColumn("raw_segment", raw).withColumn(
-        "segment", F.when(dated, F.dense_rank().over(w))
-    )
+    numbered = once(_joined(series, spans, ["raw_segment"], date).withColumn("raw_segment", raw), "segments")
+    # The runs are numbered among themselves, one row each, and not over the rows of a series.
+    runs = numbered.where(F.col("raw_segment").isNotNull()).select(*keys, "raw_segment").distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("raw_segment"))
+    named = runs.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("raw_segment").alias("__raw"), place.alias("segment"))
+    same = F.col("raw_segment") == F.col("__raw")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return numbered.join(named, same, "left").select(*numbered.columns, "segment")
 
 
 def _neighbours(dates: DataFrame, changes: DataFrame) -> DataFrame:
@@ -167,10 +170,12 @@ def periods(
     at its start, of several on one date the first by description. Bounds are
     taken in this order even where a change lies outside the data.
     """
-    span = (
+    # One row per site, written: it is needed three times, the dates once.
+    span = staged(
         dates.where(F.col("site").isNotNull())
         .groupBy("site")
-        .agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+        .agg(F.min("date").alias("first_date"), F.max("date").alias("last_date")),
+        "spans",
     )
     tied = Window.partitionBy("site", "change_date").orderBy("description")
     label = F.first(condition_from_text(F.col("description"), strict)).over(tied)

@@ -109,15 +109,15 @@ def bout_points(visits: DataFrame, changes: DataFrame, baseline: str = SEED) ->
     )
 
 
-def acoustic_daily(counts: DataFrame) -> DataFrame:
-    """Total, richness and Shannon H per date of station counts, in one aggregation by date.
+def acoustic_daily(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Total, richness and Shannon H per key and date of station counts, in one aggregation.
 
     ``counts`` has ``date, species_id, n, total`` and is first summed per date and species.
     """
-    cells = counts.where(F.col("date").isNotNull()).groupBy("date", F.col("species_id").alias("bird")).agg(
+    cells = counts.where(F.col("date").isNotNull()).groupBy(*keys, "date", F.col("species_id").alias("bird")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("visits"),
         F.max("total").alias("total"),
     )
     return diversity.alpha_diversity(
-        cells, keys=(), positive_only=False, extra=[F.max("total").alias("total")]
+        cells, keys=keys, positive_only=False, extra=[F.max("total").alias("total")]
     )

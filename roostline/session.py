@@ -85,4 +85,11 @@ def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read._roostline_staged = True
+    return read
+
+
+def once(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``df`` as a staged table; itself if it is one already."""
+    return df if getattr(df, "_roostline_staged", False) else staged(df, label)

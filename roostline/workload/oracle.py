@@ -402,6 +402,30 @@ FROM (
          (count(*) OVER (PARTITION BY site) - rank() OVER (PARTITION BY site ORDER BY gap_s) + 1)
            / CAST(count(*) OVER (PARTITION BY site) AS DOUBLE) AS top
   FROM ivi r) GROUP BY site, gap_s, condition""", SITE_IVI, CHANGES)
+_COUNTY = """county AS (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY county, date) AS BIGINT) AS total FROM (
+    SELECT CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS county, CAST(o_orderdate AS DATE) AS date,
+           concat('s', CAST(o_custkey % 17 AS VARCHAR)) AS species_id, count(*) AS n FROM orders GROUP BY 1, 2, 3)),
+county_days AS (SELECT county, date, max(total) AS total FROM county GROUP BY 1, 2)"""
+_add("county_acoustic_daily", f"""SELECT county, CAST(date AS VARCHAR) AS date, max(total_reported) AS total, count(DISTINCT species_id) AS richness,
+  round({SHANNON}, 6) AS shannon_h
+FROM (SELECT county, date, species_id, CAST(n AS DOUBLE) AS v, CAST(total AS DOUBLE) AS total,
+             total AS total_reported FROM county) GROUP BY county, date""", _COUNTY)
+_add("county_report", """SELECT c.county, count(DISTINCT c.date) AS days, count(DISTINCT date_trunc('week', c.date)) AS weeks,
+  count(DISTINCT species_id) AS species, CAST(sum(n) AS BIGINT) AS detections, round(any_value(cv), 6) AS cv,
+  count(DISTINCT c.date) AS daily_rows, count(DISTINCT date_trunc('week', c.date)) - 1 AS weekly_rows, any_value(years) AS years
+FROM county c
+JOIN (SELECT county, stddev_samp(total) / avg(total) AS cv FROM county_days GROUP BY county) v USING (county)
+JOIN (SELECT county, count(*) AS years FROM (
+  SELECT county, year(date) AS y FROM county_days GROUP BY 1, 2 HAVING count(*) > 5) GROUP BY county) y USING (county)
+GROUP BY c.county""", _COUNTY)
+_add("device_report", """SELECT serial_code, count(DISTINCT date) AS days, count(DISTINCT date_trunc('week', date)) AS weeks,
+  count(DISTINCT species_name) AS species, CAST(sum(n) AS BIGINT) AS detections, count(*) AS daily_rows
+FROM device GROUP BY serial_code""", DEVICE)
+_add("station_pages", """SELECT station_id AS id, concat('Station ', station_id) AS name,
+  CASE WHEN station_id <> '7' THEN round(max(lat), 6) END AS lat, CASE WHEN station_id <> '7' THEN round(min(lon), 6) END AS lon,
+  CAST(NULL AS VARCHAR) AS timezone
+FROM detections GROUP BY station_id""", DETECTIONS)
 _add("acoustic_daily", f"""SELECT CAST(date AS VARCHAR) AS date, max(total_reported) AS total, count(DISTINCT species_id) AS richness,
   round({SHANNON}, 6) AS shannon_h
 FROM (SELECT date, species_id, CAST(n AS DOUBLE) AS v, CAST(sum(n) OVER (PARTITION BY date) AS DOUBLE) AS total,

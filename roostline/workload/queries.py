@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from roostline.functions.timebins import TimeBins
 from roostline.operators import acoustic, calendar, catalogue, cleaning, diversity, fitting
 from roostline.operators import intervals, phases, survival, timegrid
 from roostline.operators.geo import within_boxes
-from roostline.plans import analyses, consolidate
+from roostline.plans import acoustic_jobs, analyses, consolidate
 from roostline.session import scratch_dir, staged
 from roostline.sources import manifest, nested, schemas, tables
 from roostline.sources.csv_files import DIALECT
@@ -316,9 +316,21 @@ def device_dimension(spark, folder):
         F.when(known, F.col("first_seen")).alias("first_seen"),
         F.when(known, F.col("species")).alias("species"),
     )
-    path = _land_json(documents, "device-info")
-    landed = nested.read_json(spark, path, "serial_code STRING, first_seen STRING, species BIGINT")
-    return nested.known_devices(landed)
+    path = scratch_dir(spark, "device-info")
+    columns = [c for c in documents.columns if c != "serial_code"]
+    documents.select("serial_code", F.to_json(F.struct(*columns)).alias("value")).write.partitionBy("serial_code").text(f"{path}/by-serial")
+    _name_documents(spark, f"{path}/by-serial", f"{path}/documents")
+    return nested.read_devices(spark, f"{path}/documents", "first_seen STRING, species BIGINT")
+
+
+def _name_documents(spark: SparkSession, landed: str, path: str) -> None:
+    """Moves the one file of each ``serial_code=<serial>`` folder to ``<serial>.json``, as the service names its documents."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop(path))
+    for part in store.globStatus(hadoop(f"{landed}/serial_code=*/part-*")):
+        serial = part.getPath().getParent().getName().partition("=")[2]
+        store.rename(part.getPath(), hadoop(f"{path}/{serial}.json"))
 
 
 # ------------------------------------------------------------ projection and cleaning
@@ -809,6 +821,52 @@ def bout_all_sites(spark, folder):
     return analyses.bout_fits(v.visits(spark, folder), plans)
 
 
+def _county_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Station counts of two counties: customers of even and of odd number."""
+    county = F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("county")
+    species = F.concat(F.lit("s"), (F.col("o_custkey") % 17).cast("string")).alias("species_id")
+    counts = v.table(spark, folder, "orders").groupBy(county, F.col("o_orderdate").cast("date").alias("date"), species)
+    day = Window.partitionBy("county", "date")
+    return counts.agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(day))
+
+
+@query
+def county_acoustic_daily(spark, folder):
+    return analyses.acoustic_daily(_county_counts(spark, folder), ["county"])
+
+
+@query
+def county_report(spark, folder):
+    """The station report written and read back: rows of each table, and the summary of each county."""
+    path = scratch_dir(spark, "report")
+    acoustic_jobs.write_station_report(_county_counts(spark, folder), path, ["county"])
+    rows = lambda name, column: spark.read.option("header", True).csv(f"{path}/{name}").groupBy("county").agg(F.count("*").alias(column))
+    schema = "county STRING, days BIGINT, weeks BIGINT, species BIGINT, detections BIGINT, cv DOUBLE"
+    summary = spark.read.schema(schema).option("header", True).csv(f"{path}/summary")
+    return summary.join(rows("daily", "daily_rows"), "county").join(rows("weekly", "weekly_rows"), "county").join(rows("trends", "years"), "county")
+
+
+@query
+def device_report(spark, folder):
+    path = scratch_dir(spark, "report")
+    acoustic_jobs.write_device_report(v.device_daily(spark, folder), path)
+    schema = "serial_code STRING, days BIGINT, weeks BIGINT, species BIGINT, detections BIGINT"
+    rows = spark.read.schema("date DATE, serial_code STRING, species_name STRING, n BIGINT").option("header", True).csv(f"{path}/daily")
+    counted = rows.groupBy("serial_code").agg(F.count("*").alias("daily_rows"))
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/summary").join(counted, "serial_code")
+
+
+@query
+def station_pages(spark, folder):
+    """Stations as result pages, one for each three, read back."""
+    d = v.detections(spark, folder).groupBy("station_id").agg(F.max("lat").alias("lat"), F.min("lon").alias("lon"))
+    coords = F.when(F.col("station_id") != "7", F.struct("lat", "lon")).alias("coords")
+    node = F.struct(F.col("station_id").alias("id"), F.concat(F.lit("Station "), "station_id").alias("name"), coords)
+    pages = d.groupBy(F.floor(F.col("station_id").cast("int") / 3)).agg(F.collect_list(node).alias("nodes"))
+    path = _land_json(pages.select(F.struct(F.struct("nodes").alias("stations")).alias("data")), "stations")
+    return nested.read_stations(spark, path).select("id", "name", "coords.lat", "coords.lon", "timezone")
+
+
 @query
 def acoustic_daily(spark, folder):
     return analyses.acoustic_daily(v.station_daily(spark, folder))
