@@ -42,11 +42,17 @@ BREAK_START = (0.8, 3.0, 0.2, 0.05)
 BREAK_BOUNDS = (0.0, 0.01, 0.0, 0.001), (1.0, 20.0, 1.0, 1.0)
 MIN_R2 = 0.5
 MIN_POINTS = 10
+SITE_ROUNDS = 10_000
+SPECIES_ROUNDS = 20_000
+BREAK_ROUNDS = 15_000
 
 # A fit has settled when three rounds running gain less than this share of the error,
 # the tolerance least-squares solvers commonly use.
 SETTLED_GAIN = 1e-8
 
+# A search that cannot move any more has arrived if the error is orthogonal to all free derivatives to this degree.
+ORTHOGONAL = 1e-6
+
 # Two equal components have equal derivatives; this parts them the same way every time.
 SYMMETRY_BREAK = 1e-3
 
@@ -66,17 +72,18 @@ class FitPlan:
     bounds: tuple[tuple[float, ...], tuple[float, ...]] = FREE
     min_r2: float | None = None
     min_points: int = 4
-    max_rounds: int = 2000
+    max_rounds: int = SITE_ROUNDS
 
 
 LINEAR_PER_SITE = FitPlan(log_space=False, starts=(SITE_START,))
 LOG_PER_SITE = FitPlan(log_space=True, starts=(SITE_START,))
 LOG_PER_SPECIES = FitPlan(
     log_space=True, starts=SPECIES_STARTS, rate_scale=1.0, bounds=SPECIES_BOUNDS,
-    min_r2=MIN_R2, min_points=MIN_POINTS,
+    min_r2=MIN_R2, min_points=MIN_POINTS, max_rounds=SPECIES_ROUNDS,
 )
 LOG_SINGLE_START = FitPlan(
     log_space=True, starts=(BREAK_START,), rate_scale=BREAK_SHARE, bounds=BREAK_BOUNDS, min_points=MIN_POINTS,
+    max_rounds=BREAK_ROUNDS,
 )
 
 
@@ -92,9 +99,10 @@ def _model(theta, t, log_space):
 
 
 def _minimise(t, weight, target, start, plan):
-    """Damped least squares within bounds; returns (parameters, converged) or None.
+    """Damped least squares within bounds; returns (parameters, fault) or None.
 
-    A parameter at a bound that the gradient pushes outwards is held for the round.
+    Without fault the search has settled or the gradient is small; "stalled" is a search that finds
+    no lower point though the gradient is not, "not converged" one that used up its rounds. A parameter at a bound that the gradient pushes outwards is held for the round.
     """
     lower, upper = (np.asarray(b, float) for b in plan.bounds)
     theta = np.asarray(start, float)
@@ -108,7 +116,7 @@ def _minimise(t, weight, target, start, plan):
         held = ((theta <= lower) & (pull < 0)) | ((theta >= upper) & (pull > 0))
         free = np.flatnonzero(~held)
         if free.size == 0 or np.abs(pull[free]).max() < 1e-14 * (1.0 + cost):
-            return theta, True
+            return theta, None
         curve = (slopes[:, free] * weight[:, None]).T @ slopes[:, free]
         damped = curve + damping * np.diag(np.maximum(np.diag(curve), 1e-12))
         trial = theta.copy()
@@ -121,12 +129,13 @@ def _minimise(t, weight, target, start, plan):
             theta, value, slopes, cost = trial, t_value, t_slopes, t_cost
             damping = max(damping / 5.0, 1e-12)
             if settled == 3:
-                return theta, True
+                return theta, None
         else:
             damping *= 4.0
             if damping > 1e16:
-                return theta, True
-    return theta, False
+                size = np.sqrt(weight @ slopes[:, free] ** 2) * np.sqrt(cost)
+                return theta, None if (np.abs(pull[free]) <= ORTHOGONAL * np.maximum(size, 1e-300)).all() else "stalled"
+    return theta, "not converged"
 
 
 def _fit_key(runs: pd.DataFrame, plan: FitPlan) -> tuple:
@@ -153,8 +162,8 @@ def _fit_key(runs: pd.DataFrame, plan: FitPlan) -> tuple:
             start[1] *= 1.0 + SYMMETRY_BREAK
         with np.errstate(all="ignore"):
             found = _minimise(t, m, target, np.clip(start, *plan.bounds), plan)
-        if found is None or not found[1]:
-            reason = "not converged"
+        if found is None or found[1]:
+            reason = found[1] if found else "not converged"
             continue
         theta = found[0]
         with np.errstate(all="ignore"):
@@ -243,6 +252,38 @@ def with_quality(
     )
 
 
+def optimality(runs: DataFrame, params: DataFrame, plan: FitPlan, keys: Sequence[str] = ("site",)) -> DataFrame:
+    """``(keys, gain, in_bounds)`` of fitted parameters, from the runs alone and not from the search.
+
+    ``gain`` is the largest share of the squared error that moving one parameter could still take away, to
+    first order. A parameter at a bound that the error pushes outwards cannot move.
+    """
+    keys = list(keys)
+    lo, hi, n = F.col("k_lo"), F.col("k_hi"), F.col("points")
+    a1, l1, a2, l2, t = (F.col(c) for c in (*PARAMETERS, "t"))
+    e1, e2 = F.exp(-l1 * t), F.exp(-l2 * t)
+    f = a1 * e1 + a2 * e2
+    height = f + LOG_FLOOR if plan.log_space else F.lit(1.0)
+    target = curves.run_mean_log(lo, hi, n) if plan.log_space else F.col("mean_y")
+    off = target - (F.log(height) if plan.log_space else f)
+    slopes = [d / height for d in (e1, -a1 * t * e1, e2, -a2 * t * e2)]
+    shape = runs.select(*keys, "t", "m", "k_lo", "k_hi", "mean_y", F.col("n").alias("points"))
+    given = params.select(*keys, *PARAMETERS).na.drop()
+    sums = given.join(shape, keys).groupBy(*keys, *PARAMETERS).agg(
+        F.sum(F.col("m") * off * off).alias("error"),
+        *[F.sum(F.col("m") * off * d).alias(f"pull{i}") for i, d in enumerate(slopes)],
+        *[F.sum(F.col("m") * d * d).alias(f"size{i}") for i, d in enumerate(slopes)],
+    )
+    gains, inside = [], F.lit(True)
+    for i, (name, low, high) in enumerate(zip(PARAMETERS, *plan.bounds)):
+        pull, at = F.col(f"pull{i}"), F.col(name)
+        held = ((at <= low) & (pull < 0)) | ((at >= high) & (pull > 0))
+        share = pull * pull / F.nullif(F.col(f"size{i}") * F.col("error"), F.lit(0.0))
+        gains.append(F.when(held, 0.0).otherwise(F.coalesce(share, F.lit(0.0))))
+        inside = inside & at.between(low, high)
+    return sums.select(*keys, F.greatest(*gains).alias("gain"), inside.alias("in_bounds"))
+
+
 def goodness_of_fit(
     runs: DataFrame, params: DataFrame, keys: Sequence[str] = ("site",), log_space: bool = False
 ) -> DataFrame:

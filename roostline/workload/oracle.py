@@ -369,6 +369,34 @@ _add("survivor_curve", "SELECT site, round(t, 6) AS t, rank, round(y, 6) AS surv
 # ------------------------------------------------------------------------ model fits
 _add("curve_values", f"""SELECT site, round(t, 6) AS t, round({CURVE_DOUBLE}, 6) AS value,
   round(ln({CURVE_DOUBLE} + 1e-10), 6) AS log_value FROM (SELECT DISTINCT site, t FROM curve)""", POINTS)
+# A fit goes through its starts in order; the first within the bounds is accepted on these data. Start rates are
+# multiples of 1 / (scale * mean interval in minutes).
+_OUTCOME = """gaps AS (
+  SELECT {keys}, (sec - lag(sec) OVER (PARTITION BY {keys} ORDER BY sec)) / 60.0 AS t, count(*) OVER (PARTITION BY {keys}) AS size
+  FROM (SELECT *, CAST(epoch(ts) AS BIGINT) // {step} AS sec FROM visits) WHERE {keys_known}),
+sized AS (SELECT {keys}, count(*) AS n, {scale} * avg(t) AS mean FROM gaps WHERE t IS NOT NULL AND size >= {size} GROUP BY {keys}),
+feasible AS (
+  SELECT {keys}, min(k) AS start_no FROM sized, (VALUES {starts}) AS s(k, r1, r2)
+  WHERE r1 / mean BETWEEN {low1} AND {high1} AND r2 / mean BETWEEN {low2} AND {high2} GROUP BY {keys}),
+outcome AS (
+  SELECT s.*, CASE WHEN n >= {points} THEN start_no END AS start_no FROM sized s LEFT JOIN feasible USING ({keys}))"""
+_SPECIES_STARTS = "(1, 1.0, 0.01), (2, 0.5, 0.05), (3, 2.0, 0.001), (4, 0.1, 0.1)"
+_VERDICT = """SELECT {keys}, n, CAST(start_no AS BIGINT) AS start_no, start_no IS NOT NULL AS converged,
+  CASE WHEN n < {points} THEN 'too few points' WHEN start_no IS NULL THEN 'no feasible start' END AS reason,
+  CASE WHEN start_no IS NOT NULL THEN true END AS optimal FROM outcome"""
+
+
+def _fit_outcome(name, keys, step=1, scale=1.0, size=1, starts="(1, 0.0, 0.0)", low1=0, high1=1, low2=0, high2=1, points=10):
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    sql = _OUTCOME.format(keys=keys, keys_known=known, step=step, scale=scale, size=size, starts=starts, low1=low1, high1=high1, low2=low2, high2=high2, points=points)
+    _add(name, _VERDICT.format(keys=keys, points=points), VISITS, sql)
+
+
+for _name in ("fit_outcome_linear", "fit_outcome_log"):
+    _fit_outcome(_name, "site", points=4)
+for _name, _step in (("fit_outcome_species", 1), ("fit_outcome_species_fast", 12)):
+    _fit_outcome(_name, "bird, site", _step, size=5, starts=_SPECIES_STARTS, low1=0.001, high1=50, low2=0.0001, high2=10)
+_fit_outcome("fit_outcome_single_start", "bird", scale=0.3, starts="(1, 3.0, 0.05)", low1=0.01, high1=20, low2=0.001, high2=1)
 _add("goodness_of_fit", f"""SELECT site, count(*) AS n,
   round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(y - f)), 6) AS mae
 FROM (SELECT *, {CURVE_DOUBLE} AS f FROM curve) GROUP BY site""", POINTS)

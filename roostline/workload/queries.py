@@ -771,6 +771,42 @@ def fit_species_single_start(spark, folder):
     return analyses.bout_fits(rows, {"single": fitting.LOG_SINGLE_START}, ["bird"])
 
 
+def _outcomes(visits: DataFrame, plan: fitting.FitPlan, keys: list[str], min_rows: int = 0) -> DataFrame:
+    """What becomes of each fit, and whether its parameters are a minimum: no one of them could take a hundredth off the error."""
+    runs = staged(survival.survivor_runs(intervals.interval_histogram(visits, keys, min_rows), keys), "runs")
+    params = staged(fitting.fit(runs, plan, keys), "fits")
+    checked = fitting.optimality(runs, params, plan, keys)
+    optimal = ((F.col("gain") <= 0.01) & F.col("in_bounds")).alias("optimal")
+    return params.join(checked, keys, "left").select(*keys, "n", "start_no", "converged", "reason", optimal)
+
+
+@query
+def fit_outcome_linear(spark, folder):
+    return _outcomes(v.visits(spark, folder), fitting.LINEAR_PER_SITE, ["site"])
+
+
+@query
+def fit_outcome_log(spark, folder):
+    return _outcomes(v.visits(spark, folder), fitting.LOG_PER_SITE, ["site"])
+
+
+@query
+def fit_outcome_species(spark, folder):
+    return _outcomes(v.visits(spark, folder), fitting.LOG_PER_SPECIES, ["bird", "site"], 5)
+
+
+@query
+def fit_outcome_species_fast(spark, folder):
+    """The same visits with all times divided by twelve: shorter intervals, for which the first start is feasible."""
+    visits = v.visits(spark, folder).withColumn("sec", F.floor(F.col("sec") / 12).cast("bigint"))
+    return _outcomes(visits, fitting.LOG_PER_SPECIES, ["bird", "site"], 5)
+
+
+@query
+def fit_outcome_single_start(spark, folder):
+    return _outcomes(v.visits(spark, folder), fitting.LOG_SINGLE_START, ["bird"])
+
+
 @query
 def goodness_of_fit(spark, folder):
     runs = staged(_site_runs(spark, folder), "runs")
