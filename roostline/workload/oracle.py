@@ -18,6 +18,8 @@ DAILY = VISITS + """,
 daily AS (
   SELECT date, site, bird, CAST(sum(CASE WHEN value >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS visits
   FROM visits GROUP BY date, site, bird)"""
+NAMED = DAILY + """,
+named AS (SELECT date, site, coalesce(bird, 'unknown') AS bird, visits FROM daily)"""
 TOTALS = DAILY + """,
 totals AS (SELECT date, site, CAST(coalesce(sum(visits), 0) AS BIGINT) AS visits FROM daily GROUP BY date, site)"""
 CHANGES = """changes AS (
@@ -45,8 +47,8 @@ STATION = """station AS (
            count(*) AS n FROM orders GROUP BY 1, 2))"""
 DEVICE = VISITS + """,
 device AS (
-  SELECT date, site AS serial_code, bird AS species_name, count(*) AS n
-  FROM visits WHERE bird IS NOT NULL GROUP BY 1, 2, 3)"""
+  SELECT date, site AS serial_code, coalesce(bird, 'unknown') AS species_name, count(*) AS n
+  FROM visits GROUP BY 1, 2, 3)"""
 DETECTIONS = """detections AS (
   SELECT event_id AS id, ts AS timestamp,
          CAST(29.4 + (event_id % 140) * 0.01 AS DOUBLE) AS lat,
@@ -169,12 +171,12 @@ _add("sheet_scan", f"""SELECT CAST(date AS VARCHAR) AS "Date", bird AS "Bird", s
   {_NOTE} AS "Notes" FROM visits""", VISITS)
 _add("consolidated_daily", """SELECT CAST(date AS VARCHAR) AS "Date",
   concat(upper(site[1]), site[2:], ', FL Daily Su') AS source_sheet, bird AS "Bird",
-  CAST(visits AS DOUBLE) AS "Feeder Visits" FROM daily WHERE site <> 'view' AND bird IS NOT NULL
+  CAST(visits AS DOUBLE) AS "Feeder Visits" FROM named WHERE site <> 'view'
 UNION ALL
 SELECT CAST(d.date AS VARCHAR), 'South daily summaries', s.bird, CAST(v.visits AS DOUBLE)
-FROM (SELECT DISTINCT date FROM daily WHERE site = 'view' AND bird IS NOT NULL) d
-CROSS JOIN (SELECT concat('sp', lpad(CAST(i AS VARCHAR), 2, '0')) AS bird FROM range(24) AS g(i)) s
-LEFT JOIN daily v ON v.site = 'view' AND v.date = d.date AND v.bird = s.bird""", DAILY)
+FROM (SELECT DISTINCT date FROM named WHERE site = 'view') d
+CROSS JOIN (SELECT CASE WHEN i < 24 THEN concat('sp', lpad(CAST(i AS VARCHAR), 2, '0')) ELSE 'unknown' END AS bird FROM range(25) AS g(i)) s
+LEFT JOIN named v ON v.site = 'view' AND v.date = d.date AND v.bird = s.bird""", NAMED)
 _add("station_counts_json", f"SELECT {_D}, species_id, n, total FROM station", STATION)
 _add("device_counts_json", f"""SELECT {_D}, serial_code,
   CASE WHEN species_name = 'sp03' THEN 'Unknown' ELSE species_name END AS species_name, '' AS species_scientific,
@@ -193,15 +195,17 @@ _add("flatten_detections", """SELECT CAST(id AS VARCHAR) AS id, CAST(timestamp A
 _IN_BOX = "lat BETWEEN sw_lat AND ne_lat AND lon BETWEEN sw_lon AND ne_lon"
 _add("county_csv_sink", f"""SELECT county, id, species_common, station_id FROM detections JOIN boxes ON {_IN_BOX}""", DETECTIONS)
 _add("table_sinks", f"""SELECT kind, {_D}, site, visits FROM totals CROSS JOIN (VALUES ('csv'), ('parquet')) AS k(kind)""", TOTALS)
-_add("result_manifest", """SELECT filename, title, 'parquet' AS type, created, concat('tables/', filename) AS image_path,
+_add("result_manifest", """SELECT filename,
+  CASE WHEN title = 'Again' THEN (SELECT concat('Totals of ', count(*), ' site days') FROM totals) ELSE title END AS title, 'parquet' AS type, created, concat('tables/', filename) AS image_path,
   (SELECT count(*) FROM totals) AS table_rows FROM (VALUES
   ('heatmap_counts', 'Totals', '2024-02-01T10:00:00'), ('diversity_metrics', 'Shannon', '2024-02-01T10:05:00'),
-  ('heatmap_counts', 'Totals again', '2024-02-02T10:00:00')) AS t(filename, title, created)""", TOTALS)
-_add("publish_order", """SELECT CAST(position AS BIGINT) AS position, filename, title, title IS NOT NULL AS found FROM (VALUES
+  ('heatmap_counts', 'Again', '2024-02-02T10:00:00')) AS t(filename, title, created)""", TOTALS)
+_add("publish_order", """SELECT CAST(position AS BIGINT) AS position, filename,
+  CASE WHEN position = 4 THEN (SELECT concat('Totals of ', count(*), ' site days') FROM totals) ELSE title END AS title,
+  title IS NOT NULL AS found FROM (VALUES
   (1, 'species_visits_by_date', NULL), (2, 'migration_relation', NULL), (3, 'mbd_plot', NULL),
-  (4, 'heatmap_counts', 'Totals again'), (5, 'heatmap_proportions', NULL), (6, 'all_birds_bout_analysis', NULL),
-  (7, 'individual_species_bout_analysis', NULL), (8, 'diversity_metrics', 'Shannon')) AS t(position, filename, title)
-WHERE EXISTS (SELECT 1 FROM events)""")
+  (4, 'heatmap_counts', 'Again'), (5, 'heatmap_proportions', NULL), (6, 'all_birds_bout_analysis', NULL),
+  (7, 'individual_species_bout_analysis', NULL), (8, 'diversity_metrics', 'Shannon')) AS t(position, filename, title)""", TOTALS)
 _add("device_dimension", """SELECT serial_code, CAST(min(date) AS VARCHAR) AS first_seen,
   count(DISTINCT species_name) AS species FROM device WHERE serial_code <> 'error' GROUP BY serial_code""", DEVICE)
 
@@ -219,7 +223,7 @@ _add("lower_bounds", f"""SELECT 'migration' AS source, CAST(night AS VARCHAR) AS
   WHERE night > DATE '2024-01-10'
 UNION ALL SELECT 'daily', CAST(date AS VARCHAR), visits FROM daily WHERE date >= DATE '2024-01-20'""", DAILY, MIGRATION)
 _add("excluded_species", """SELECT event_id, bird FROM visits
-WHERE site = 'click' AND (bird IS NULL OR bird NOT IN ('sp01', 'sp02'))""", VISITS)
+WHERE bird IS NULL OR bird NOT IN ('sp01', 'sp02')""", VISITS)
 _add("positive_visits", f"SELECT {_D}, site, bird, visits FROM daily WHERE visits > 0", DAILY)
 _add("text_dates", """SELECT event_id, site, CASE WHEN event_id % 3 <> 0 THEN CAST(date AS VARCHAR) END AS date
 FROM visits""", VISITS)
@@ -236,8 +240,8 @@ _add("recent_detections", """SELECT id, CAST(timestamp AS VARCHAR) AS timestamp
 WHERE timestamp >= (SELECT max(timestamp) FROM detections) - INTERVAL 8 HOUR""", DETECTIONS)
 _add("unpivot_species", """SELECT CAST(d.date AS VARCHAR) AS date, d.site, s.bird AS "Bird", CAST(v.visits AS DOUBLE) AS visits
 FROM (SELECT DISTINCT date, site FROM daily) d
-CROSS JOIN (SELECT concat('sp', lpad(CAST(i AS VARCHAR), 2, '0')) AS bird FROM range(24) AS g(i)) s
-LEFT JOIN daily v ON v.site = d.site AND v.date = d.date AND v.bird = s.bird""", DAILY)
+CROSS JOIN (SELECT CASE WHEN i < 24 THEN concat('sp', lpad(CAST(i AS VARCHAR), 2, '0')) ELSE 'unknown' END AS bird FROM range(25) AS g(i)) s
+LEFT JOIN named v ON v.site = d.site AND v.date = d.date AND v.bird = s.bird""", NAMED)
 _BIN = "LEAST(47, minute_of_day // 30)"
 _GRID = f"""grid AS (
   SELECT d.site, d.date, i AS time_bin, coalesce(c.n, 0) AS n,
@@ -289,15 +293,15 @@ _add("condition_in_force", f"""SELECT event_id, site, {_D}, coalesce({IN_FORCE},
 _add("gap_filled_series", """SELECT CAST(CAST(c.d AS DATE) AS VARCHAR) AS date, c.site, c.bird, coalesce(k.visits, 0) AS visits,
   CASE WHEN k.visits IS NOT NULL THEN 'seen' END AS note
 FROM (SELECT bird, site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d
-      FROM daily WHERE bird IS NOT NULL GROUP BY bird, site) c
-LEFT JOIN daily k ON k.bird = c.bird AND k.site = c.site AND k.date = CAST(c.d AS DATE)""", DAILY)
+      FROM named GROUP BY bird, site) c
+LEFT JOIN named k ON k.bird = c.bird AND k.site = c.site AND k.date = CAST(c.d AS DATE)""", NAMED)
 _STYLES = """styles AS (
   SELECT * FROM (VALUES ('sp00', '#DC143C', '#DC143C', '#DC143C', 'o'), ('sp01', '#000000', '#FFFFFF', 'black', 'o'),
     ('sp02', '#708090', '#708090', 'black', '^'), ('sp03', '#4169E1', NULL, NULL, NULL)) AS t(bird, color, fill, edge, marker))"""
 _add("species_styles", """SELECT d.bird, CAST(sum(visits) AS BIGINT) AS visits, coalesce(any_value(color), '#808080') AS color,
   coalesce(any_value(fill), any_value(color), '#808080') AS fill, coalesce(any_value(edge), 'black') AS edge,
   coalesce(any_value(marker), 'o') AS marker
-FROM daily d LEFT JOIN styles s ON s.bird = d.bird WHERE d.bird IS NOT NULL GROUP BY d.bird""", DAILY, _STYLES)
+FROM named d LEFT JOIN styles s ON s.bird = d.bird GROUP BY d.bird""", NAMED, _STYLES)
 _add("unstyled_species", """SELECT DISTINCT bird FROM daily
 WHERE bird IS NOT NULL AND bird NOT IN (SELECT bird FROM styles)""", DAILY, _STYLES)
 
@@ -342,7 +346,7 @@ _add("species_intervals", """SELECT event_id, bird, site, round(gap_s / 60.0, 6)
 _add("interval_histogram", "SELECT site, gap_s, count(*) AS n FROM ivi GROUP BY site, gap_s", SITE_IVI)
 _add("phase_segments", f"""SELECT {_D}, site, bird, visits, raw_segment,
   dense_rank() OVER (PARTITION BY bird, site ORDER BY raw_segment) AS segment
-FROM (SELECT *, {PASSED} AS raw_segment FROM daily r WHERE bird IS NOT NULL)""", DAILY, CHANGES)
+FROM (SELECT *, {PASSED} AS raw_segment FROM named r)""", NAMED, CHANGES)
 _add("markers_before_change", """SELECT site, CAST(change_date AS VARCHAR) AS change_date, description,
   CAST(CAST(lo AS TIMESTAMP) + to_hours(12 * CAST(date_diff('day', lo, change_date) AS INTEGER)) AS VARCHAR) AS marker
 FROM around WHERE lo IS NOT NULL""", AROUND)

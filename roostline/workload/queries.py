@@ -169,8 +169,8 @@ def _land_visit_sheets(spark: SparkSession, folder: str) -> str:
 def _land_daily_sheets(spark: SparkSession, folder: str) -> str:
     """A workbook folder with a wide daily sheet for one site, long ones for the others, and the phase changes."""
     path = scratch_dir(spark, "workbook")
-    daily = staged(v.daily(spark, folder).where("bird IS NOT NULL"), "daily")
-    species = [f"sp{i:02d}" for i in range(v.SPECIES - 1)]
+    daily = staged(v.named_daily(spark, folder), "daily")
+    species = v.species_names()
     wide = cleaning.matrix(
         daily.where("site = 'view'").withColumn("Date", F.col("date").cast("string")), ["Date"], "bird", "visits", species
     )
@@ -280,7 +280,8 @@ def _published(spark: SparkSession, folder: str) -> str:
     base = diversity.species_days(daily)
     manifest.publish(totals, path, "heatmap_counts", "Totals", created="2024-02-01T10:00:00")
     manifest.publish(diversity.shannon(base), path, "diversity_metrics", "Shannon", created="2024-02-01T10:05:00")
-    manifest.publish(totals, path, "heatmap_counts", "Totals again", "second", created="2024-02-02T10:00:00")
+    again = f"Totals of {totals.count()} site days"
+    manifest.publish(totals, path, "heatmap_counts", again, "second", created="2024-02-02T10:00:00")
     return path
 
 
@@ -385,8 +386,7 @@ def lower_bounds(spark, folder):
 
 @query
 def excluded_species(spark, folder):
-    rows = v.visits(spark, folder).where("site = 'click'")
-    return cleaning.excluding(rows, "bird", ["sp01", "sp02"]).select("event_id", "bird")
+    return cleaning.excluding(v.visits(spark, folder), "bird", ["sp01", "sp02"]).select("event_id", "bird")
 
 
 @query
@@ -447,8 +447,8 @@ def recent_detections(spark, folder):
 
 @query
 def unpivot_species(spark, folder):
-    species = [f"sp{i:02d}" for i in range(v.SPECIES - 1)]
-    wide = cleaning.matrix(v.daily(spark, folder), ["date", "site"], "bird", "visits", species)
+    species = v.species_names()
+    wide = cleaning.matrix(v.named_daily(spark, folder), ["date", "site"], "bird", "visits", species)
     return cleaning.unpivot_species(wide, ids=("date", "site")).withColumnRenamed("Feeder Visits", "visits")
 
 
@@ -569,13 +569,13 @@ def condition_in_force(spark, folder):
 
 @query
 def gap_filled_series(spark, folder):
-    series = v.daily(spark, folder).where("bird IS NOT NULL").withColumn("note", F.lit("seen"))
+    series = v.named_daily(spark, folder).withColumn("note", F.lit("seen"))
     return calendar.fill_days(series, ["bird", "site"])
 
 
 @query
 def species_styles(spark, folder):
-    seen = v.daily(spark, folder).where("bird IS NOT NULL").groupBy("bird").agg(F.sum("visits").alias("visits"))
+    seen = v.named_daily(spark, folder).groupBy("bird").agg(F.sum("visits").alias("visits"))
     return catalogue.with_styles(seen, v.styles(spark))
 
 
@@ -669,7 +669,7 @@ def interval_histogram(spark, folder):
 
 @query
 def phase_segments(spark, folder):
-    daily = v.daily(spark, folder).where("bird IS NOT NULL")
+    daily = v.named_daily(spark, folder)
     return phases.segments(daily, v.phase_changes(spark), ["bird", "site"])
 
 
@@ -767,8 +767,7 @@ def fit_species(spark, folder):
 
 @query
 def fit_species_single_start(spark, folder):
-    rows = cleaning.excluding(v.visits(spark, folder), "bird", ["sp01", "sp02"])
-    return analyses.bout_fits(rows, {"single": fitting.LOG_SINGLE_START}, ["bird"])
+    return analyses.bout_fits(v.visits(spark, folder), {"single": fitting.LOG_SINGLE_START}, ["bird"])
 
 
 def _outcomes(visits: DataFrame, plan: fitting.FitPlan, keys: list[str], min_rows: int = 0) -> DataFrame:

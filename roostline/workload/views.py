@@ -38,6 +38,18 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+UNKNOWN = "unknown"
+
+
+def named_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """``daily`` with a name for the species that has none, for steps that need one on every row."""
+    return daily(spark, folder).withColumn("bird", F.coalesce("bird", F.lit(UNKNOWN)))
+
+
+def species_names() -> list[str]:
+    return [f"sp{i:02d}" for i in range(SPECIES - 1)] + [UNKNOWN]
+
+
 def phase_changes(spark: SparkSession) -> DataFrame:
     rows = [
         ("click", "2024-01-10", "Extinction"),
@@ -80,8 +92,8 @@ def station_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def device_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Counts per device (site), day and species."""
-    named = visits(spark, folder).where(F.col("bird").isNotNull())
-    return named.groupBy("date", F.col("site").alias("serial_code"), F.col("bird").alias("species_name")).agg(
+    species = F.coalesce("bird", F.lit(UNKNOWN)).alias("species_name")
+    return visits(spark, folder).groupBy("date", F.col("site").alias("serial_code"), species).agg(
         F.count("*").alias("n")
     )
 
