@@ -9,8 +9,8 @@ too, are the same in the inside of every repeat. Spark then names, in three roun
 2. whole phrases; all occurrences of a phrase but the first are repeats as they stand;
 3. the windows of the phrases that are left: first occurrences, and phrases at the ends of repeats.
 
-A name is a function of the words, the same on every executor. Phrases are compared by 128 bits of
-names, windows too. Runs of one word stay single symbols, since a window can begin inside a run.
+A name is a function of the words, the same on every executor. Phrases are compared by 96 bits of
+names, windows by 128. Runs of one word stay single symbols, since a window can begin inside a run.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ LEAST = -(2**63)
 UNKNOWN, SHARED, LATER = 0, 1, 2
 CHUNK = 1 << 16
 
-PHRASE = {"route": "BIGINT", "phrase": "BIGINT", "status": "TINYINT", "doc": "BIGINT", "sub": "INT", "start": "INT", "count": "INT"}
+PHRASE = {"route": "BIGINT", "phrase": "BIGINT", "other": "INT", "status": "TINYINT", "doc": "BIGINT", "sub": "INT", "start": "INT", "count": "INT"}
 FOUND = {"route": "BIGINT", "other": "BIGINT", "status": "TINYINT", "doc": "BIGINT", "sub": "INT", "start": "INT"}
 _TYPES = {"BIGINT": pa.int64(), "INT": pa.int32(), "TINYINT": pa.int8()}
 
@@ -98,7 +98,7 @@ def symbols(names: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Phrases of the texts: text, first window (from 0 in its text), windows, name of the head, name of the phrase.
+    """Phrases of the texts: text, first window (from 0 in its text), windows, name of the head, two names of the phrase.
 
     The windows of a phrase are the consecutive ones in which the same symbol ranks least.
     """
@@ -106,7 +106,7 @@ def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     windows = np.maximum(count - WINDOW + 1, 0)
     if not windows.any():
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.int32)
     n = len(names)
     # Rank above, place below: the least value is the leftmost symbol of the least rank.
     order = (symbols(names, first) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
@@ -120,8 +120,9 @@ def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     head = (least[begin + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     edge = np.flatnonzero(np.diff(head, prepend=-1) | np.diff(text, prepend=-1))
     size = np.diff(np.r_[edge, len(head)])
-    name = first_names(names)
-    return text[edge], within[edge], size, name.of(head[edge], head[edge] + HEAD), name.of(begin[edge], begin[edge] + size + WINDOW - 1)
+    name, a, b = first_names(names), begin[edge], begin[edge] + size + WINDOW - 1
+    other = (second_names(names).of(a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return text[edge], within[edge], size, name.of(head[edge], head[edge] + HEAD), name.of(a, b), other
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -158,16 +159,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((text + low, *rest))
         if not parts:
             continue
-        text, start, size, head, name = (np.concatenate(c) for c in zip(*parts))
+        text, start, size, head, name, other = (np.concatenate(c) for c in zip(*parts))
         if not len(text):
             continue
         doc, sub = docs[text], subs[text]
         _, head_at, head_of, head_times = np.unique(head, return_index=True, return_inverse=True, return_counts=True)
-        _, name_at, name_of = np.unique(name ^ (head * tokens.ODD), return_index=True, return_inverse=True)
+        both = tokens.mixed(name + head * tokens.ODD) ^ other.view(np.uint32)
+        _, name_at, name_of = np.unique(both, return_index=True, return_inverse=True)
         status = np.where(head_times[head_of] > 1, SHARED, UNKNOWN).astype(np.int8)
-        status[_elsewhere(name_at[name_of], doc, sub, start)] = LATER
+        first = name_at[name_of]
+        status[_elsewhere(first, doc, sub, start) & (name[first] == name) & (other[first] == other)] = LATER
         route = np.where(head_at[head_of] == np.arange(len(head)), head, _scattered(doc, start))
-        yield from _batches(PHRASE, [route, name, status, doc, sub, start, size])
+        yield from _batches(PHRASE, [route, name, other, status, doc, sub, start, size])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +342,8 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     candidates = staged(cut.mapInArrow(_shared, _ddl(PHRASE)), "phrases")
     # A phrase that its batch has settled need not meet the others of its name.
     target = F.when(F.col("status") == LATER, F.col("route")).otherwise(F.col("phrase"))
-    dealt = candidates.withColumn("route", target).repartition("route").sortWithinPartitions("route", *place)
-    named = staged(dealt.mapInArrow(_repeats(("route",)), _ddl(PHRASE)).drop("route", "phrase"), "phrases")
+    dealt = candidates.withColumn("route", target).repartition("route").sortWithinPartitions("route", "other", *place)
+    named = staged(dealt.mapInArrow(_repeats(("route", "other")), _ddl(PHRASE)).drop("route", "phrase", "other"), "phrases")
 
     # A document that is there twice has its phrases listed once.
     later = named.where(F.col("status") == LATER).select("doc", "sub", "start", "count")
