@@ -50,8 +50,9 @@ BREAK_ROUNDS = 15_000
 # the tolerance least-squares solvers commonly use.
 SETTLED_GAIN = 1e-8
 
-# A search that cannot move any more has arrived if the error is orthogonal to all free derivatives to this degree.
-ORTHOGONAL = 1e-6
+# And only where no free parameter could, to first order, take more than this share off the error.
+SETTLED_SHARE = 1e-3
+NEGLIGIBLE = 1e-8
 
 # Two equal components have equal derivatives; this parts them the same way every time.
 SYMMETRY_BREAK = 1e-3
@@ -98,11 +99,17 @@ def _model(theta, t, log_space):
     return np.log(g), slopes / g[:, None]
 
 
+def _share(pull, slopes, weight, cost):
+    """The largest share of the error that one parameter could take away, to first order."""
+    return (pull**2 / np.maximum((weight @ slopes**2) * cost, 1e-300)).max(initial=0.0)
+
+
 def _minimise(t, weight, target, start, plan):
     """Damped least squares within bounds; returns (parameters, fault) or None.
 
     Without fault the search has settled or the gradient is small; "stalled" is a search that finds
-    no lower point though the gradient is not, "not converged" one that used up its rounds. A parameter at a bound that the gradient pushes outwards is held for the round.
+    no lower point though the gradient is not, "not converged" one that used up its rounds. A parameter at a bound that the gradient pushes outwards is held for the
+    round.
     """
     lower, upper = (np.asarray(b, float) for b in plan.bounds)
     theta = np.asarray(start, float)
@@ -110,6 +117,8 @@ def _minimise(t, weight, target, start, plan):
     cost = weight @ (target - value) ** 2
     if not np.isfinite(cost):
         return None
+    # An error this small beside the values themselves is rounding, of which nothing is to be gained.
+    rounding = NEGLIGIBLE * (weight @ target**2)
     damping, settled = 1e-3, 0
     for _ in range(plan.max_rounds):
         pull = slopes.T @ (weight * (target - value))
@@ -117,10 +126,18 @@ def _minimise(t, weight, target, start, plan):
         free = np.flatnonzero(~held)
         if free.size == 0 or np.abs(pull[free]).max() < 1e-14 * (1.0 + cost):
             return theta, None
-        curve = (slopes[:, free] * weight[:, None]).T @ slopes[:, free]
-        damped = curve + damping * np.diag(np.maximum(np.diag(curve), 1e-12))
+        moved, step = free, np.zeros(0)
+        while moved.size:
+            curve = (slopes[:, moved] * weight[:, None]).T @ slopes[:, moved]
+            damped = curve + damping * np.diag(np.maximum(np.diag(curve), 1e-12))
+            step = np.linalg.lstsq(damped, pull[moved], rcond=None)[0]
+            # A parameter at its bound that this step would push out stays, and the others are solved for again.
+            out = ((theta[moved] <= lower[moved]) & (step < 0)) | ((theta[moved] >= upper[moved]) & (step > 0))
+            if not out.any():
+                break
+            moved = moved[~out]
         trial = theta.copy()
-        trial[free] += np.linalg.lstsq(damped, pull[free], rcond=None)[0]
+        trial[moved] += step[: moved.size]
         trial = np.clip(trial, lower, upper)
         t_value, t_slopes = _model(trial, t, plan.log_space)
         t_cost = weight @ (target - t_value) ** 2
@@ -128,13 +145,13 @@ def _minimise(t, weight, target, start, plan):
             settled = settled + 1 if cost - t_cost <= SETTLED_GAIN * cost else 0
             theta, value, slopes, cost = trial, t_value, t_slopes, t_cost
             damping = max(damping / 5.0, 1e-12)
-            if settled == 3:
+            # Damped steps gain little anywhere, so a search has settled only where no parameter could gain much either.
+            if settled >= 3 and _share(slopes[:, free].T @ (weight * (target - value)), slopes[:, free], weight, cost + rounding) <= SETTLED_SHARE:
                 return theta, None
         else:
             damping *= 4.0
             if damping > 1e16:
-                size = np.sqrt(weight @ slopes[:, free] ** 2) * np.sqrt(cost)
-                return theta, None if (np.abs(pull[free]) <= ORTHOGONAL * np.maximum(size, 1e-300)).all() else "stalled"
+                return theta, None if _share(pull[free], slopes[:, free], weight, cost + rounding) <= SETTLED_SHARE else "stalled"
     return theta, "not converged"
 
 
