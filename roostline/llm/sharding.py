@@ -35,9 +35,13 @@ def _range_of(key: Column, splitters: list[tuple[int, int, int]]) -> Column:
         return F.arrays_zip(*[_longs(v) for v in zip(*some)]).cast(f"array<{KEY}>")
 
     fine, coarse = constant(splitters), constant(splitters[::step])
-    block = F.size(F.filter(coarse, lambda s: s <= key))
-    inside = F.slice(fine, (block - 1) * step + 1, F.lit(step))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(inside, lambda s: s <= key)))
+    at_most = lambda some: F.size(F.filter(some, lambda s: s <= key))
+
+    def inside(block: Column) -> Column:
+        return F.when(block == 0, 0).otherwise((block - 1) * step + at_most(F.slice(fine, (block - 1) * step + 1, F.lit(step))))
+
+    # Bound to a lambda variable, so that the first search is made once a record.
+    return F.transform(F.array(at_most(coarse)), inside)[0]
 
 
 def _draw(rows: DataFrame, step: float, salt: int) -> list[tuple[tuple[int, int, int], float]]:
