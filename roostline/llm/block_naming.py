@@ -137,8 +137,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """
     named = staged(identities(docs), "identities")
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("r")))
-    per = named.groupBy("name").agg(best.alias("best"), F.count("*").alias("group_size"))
-    # One row per text on the right; a text with very many copies is a skewed join that AQE splits.
+    # One row per text, written: so a text with very many copies is a skewed join that AQE can split.
+    per = staged(named.groupBy("name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return named.join(per, "name").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.r")).alias("kept"), "text_sha256"
     )
