@@ -24,13 +24,15 @@ CHUNK = 1 << 16
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
-def fingerprint_group(data: np.ndarray, cuts: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """SimHash of the word shingles of each text between two cuts, as signed 64-bit integers; 0 without words."""
+def shingle_hashes(data: np.ndarray, cuts: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the word shingles of each text between two cuts, in pieces: which text (ascending), and its hashes.
+
+    Words are lower-cased; a text of fewer words than ``width`` has one shingle of all of them, one without words none.
+    """
     data = tokens.LOWER[data]
     starts, ends = tokens.spans(data, cuts, tokens.IS_SPACE)
-    found = np.zeros(len(cuts) - 1, np.int64)
     if not len(starts):
-        return found
+        return
     # All words again, one space after each.
     after = np.cumsum(ends - starts + 1)
     joined = np.full(after[-1], 0x20, np.uint8)
@@ -44,19 +46,26 @@ def fingerprint_group(data: np.ndarray, cuts: np.ndarray, width: int = SHINGLE)
     some = np.flatnonzero(count)
     shingles = np.maximum(count[some] - width + 1, 1)
     offset = np.r_[0, np.cumsum(shingles)]
-    ones = np.zeros((len(some), 64), np.int64)
     for low in range(0, offset[-1], CHUNK):
         n = np.arange(low, min(low + CHUNK, offset[-1]))
-        text = np.searchsorted(offset, n, "right") - 1
-        word = first[some[text]] + n - offset[text]
-        reach = np.minimum(count[some[text]], width) - 1
-        h = xxh64(joined, begin[word], after[word + reach] - 1, SEED)
+        at = np.searchsorted(offset, n, "right") - 1
+        text = some[at]
+        word = first[text] + n - offset[at]
+        reach = np.minimum(count[text], width) - 1
+        yield text, xxh64(joined, begin[word], after[word + reach] - 1, SEED)
+
+
+def fingerprint_group(data: np.ndarray, cuts: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """SimHash of the word shingles of each text between two cuts, as signed 64-bit integers; 0 without words."""
+    ones = np.zeros((len(cuts) - 1, 64), np.int64)
+    shingles = np.zeros(len(cuts) - 1, np.int64)
+    for text, h in shingle_hashes(data, cuts, width):
         bits = np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
         edge = np.flatnonzero(np.diff(text, prepend=-1))
         ones[text[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+        shingles[text[edge]] += np.diff(np.r_[edge, len(text)])
     bits = ones * 2 > shingles[:, None]
-    found[some] = np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
-    return found
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0].astype(np.int64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each group of near-duplicates, one row each."""
+    """``docs`` with the document of the smallest doc_id of each group of near-duplicates, for unique doc_ids without nulls.
+
+    One row stays of all rows of one doc_id, and one of all null ids. ``similar.one_of_each_group`` keeps one row per group.
+    """
     key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id")]
     keep = near_duplicates(docs, radius).where("doc_id <=> component_id").select(*key).distinct()
     return docs.select("*", *key).join(keep, ["_id", "_no_id"], "left_semi").dropDuplicates(["_id", "_no_id"]).drop("_id", "_no_id")
