@@ -18,6 +18,11 @@ FOLDS, HELD_OUT = 3, 1
 # Bounds of the sample that is fitted: documents per language, characters of each, and symbols per automaton.
 SAMPLE_DOCS = 80
 SAMPLE_CHARS = 3000
+# Where a language has not so many documents of LONG characters, shorter ones fill up, as many as have the same characters together.
+LONG = 200
+SHORT_DOCS = SAMPLE_DOCS * SAMPLE_CHARS // LONG
+# A rate from a few symbols counts as if so many more had been covered, or a language of one word would win every text.
+DOUBT = 20
 REFERENCE = 40_000
 BASELINE = 20_000
 # A text is parsed in stretches of so many symbols, all languages and many stretches side by side.
@@ -154,31 +159,33 @@ def fit(samples: dict[str, list[str]]) -> Model:
         offset += step.size
         tables.append(step.astype(np.int32).reshape(-1))
     model = Model(languages, letters, np.concatenate(tables), np.array(starts, np.int32), np.ones(len(languages)))
-    own_rate = [phrases(model, [t])[0, i] / max(1, len(t)) for i, t in enumerate(rest)]
-    model.rates = np.array([r if r > 0 else 1.0 for r in own_rate])
+    model.rates = np.array([max(1, phrases(model, [t])[0, i]) / (len(t) + DOUBT) for i, t in enumerate(rest)])
     return model
 
 
 def sampled(docs: DataFrame) -> dict[str, list[str]]:
     """The fitted sample: of each language the documents with the smallest hash of their id, up to the bounds above.
 
-    Only rows of the learning folds with a language count. The driver gets at most ``SAMPLE_DOCS`` times
-    ``SAMPLE_CHARS`` characters a language.
+    Only rows of the learning folds with a language and a letter count. Texts of 200 or more characters come first;
+    shorter ones follow where a language has fewer than ``SAMPLE_DOCS`` of those, so that every such language has a
+    sample. The driver gets at most ``SAMPLE_DOCS`` times ``SAMPLE_CHARS`` characters of either kind a language.
     """
-    learn = docs.where((id_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") >= 200))
+    short = (F.length("text") < LONG).alias("short")
+    learn = docs.where((id_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # Ranks are cut to the bound within each task, before the shuffle.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learn.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    order = Window.partitionBy("lang", "short").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = learn.select("lang", "doc_id", short).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SHORT_DOCS)
+    chosen = chosen.where(F.col("short") | (F.col("n") <= SAMPLE_DOCS))
     text = F.substring("text", 1, SAMPLE_CHARS).alias("t")
-    rows = learn.select("lang", "doc_id", text).join(F.broadcast(chosen), ["lang", "doc_id"]).dropDuplicates(["lang", "n"]).collect()
+    key = ["lang", "doc_id", "short"]
+    rows = learn.select("lang", "doc_id", short, text).join(F.broadcast(chosen), key).dropDuplicates(["lang", "short", "n"]).collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.n)):
-        out.setdefault(r.lang, []).append(r.t)
-    if not out:
-        # Tiny inputs: whatever labelled text there is.
-        short = docs.where((id_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        for r in short.select("lang", "doc_id", text).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect():
-            out.setdefault(r.lang, []).append(r.t)
+    for r in sorted(rows, key=lambda r: (r.lang, r.short, r.n)):
+        own = out.setdefault(r.lang, [])
+        if not r.short:
+            own.append(r.t)
+        elif sum(map(len, own)) < SAMPLE_DOCS * SAMPLE_CHARS and sum(len(t) >= LONG for t in own) < SAMPLE_DOCS:
+            own.append(r.t)
     return out
 
 
@@ -214,7 +221,7 @@ def predictions(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     A text is predicted from itself alone: the language wins whose sample covers it with the fewest
     longest-match phrases, each count divided by what the language needs for its own text. ``score`` is the
-    lead over the second, from 0 to 1. Null texts, texts without a letter, and all texts where
+    lead over the second, from 0 to 1. Languages are learned from texts of any length, long ones first. Null texts, texts without a letter, and all texts where
     nothing can be learned are ``und`` with score 0. Ties go to the language first in order, an empty table
     gives no rows, columns of ``docs`` with the names of the added ones are replaced. Whole texts are parsed.
     """
