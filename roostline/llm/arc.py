@@ -40,10 +40,10 @@ class Record:
 
     @property
     def kind(self) -> str:
-        """The WARC type that the URL and the block call for."""
-        if self.url.startswith("filedesc:"):
+        """The WARC type that the block calls for, whatever the URL: an HTTP message is a response. Only a version block is warcinfo."""
+        if self.index == 0 and self.url.startswith("filedesc:"):
             return "warcinfo"
-        return "response" if self.url.startswith(("http:", "https:")) and self.block.startswith(b"HTTP/") else "resource"
+        return "response" if self.block.startswith(b"HTTP/") else "resource"
 
     @property
     def record_id(self) -> str:
@@ -134,7 +134,7 @@ def _to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 version, name = number % 2 + 1, f"crawl-{task:05d}-{number:05d}.arc"
                 parts, number = [arc_header(version, name, date)], number + 1
                 held = len(parts[0])
-            url = "".join(url.split()) if url else f"http://unknown.invalid/{page_id}"
+            url = "".join((url or "").split()) or f"http://unknown.invalid/{page_id}"
             parts.append(arc_record(version, name, url, date, _page_block(page_id, html), held))
             held += len(parts[-1])
             if held >= ARCHIVE_BYTES:
@@ -295,7 +295,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
 def pages_through_archives(pages: DataFrame) -> DataFrame:
     """Pages to ARC, ARC to WARC, and what the WARC archives say: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload, a null url gets a stand-in, repeated rows get a record each; an empty table
+    Null html is an empty payload, a null or blank url gets a stand-in, any other url is taken as it is without its blanks, repeated rows get a record each; an empty table
     gives no rows.
     """
     spark = pages.sparkSession
