@@ -69,16 +69,18 @@ def fingerprint_group(data: np.ndarray, cuts: np.ndarray, width: int = SHINGLE)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns but the last, which is the text; its fingerprint takes its place."""
     for batch in batches:
-        parts = [fingerprint_group(data, cuts) for _, _, data, cuts in tokens.groups(batch.column(1))]
+        *kept, text = batch.columns
+        parts = [fingerprint_group(data, cuts) for _, _, data, cuts in tokens.groups(text)]
         found = pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*kept, found], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of each row of ``docs`` (doc_id, text)."""
-    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return plain.mapInArrow(_fingerprints, "doc_id BIGINT, fp BIGINT")
+def fingerprints(docs: DataFrame, *keys: Column) -> DataFrame:
+    """``keys`` (doc_id, if none are given) and fp of each row of ``docs`` (doc_id, text)."""
+    chosen = docs.select(*(keys or [F.col("doc_id").cast("bigint")]), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(_fingerprints, chosen.drop("text").schema.add("fp", "long"))
 
 
 class BKTree:
@@ -187,6 +189,12 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_links(radius), "u BIGINT, v BIGINT").distinct()
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (distinct ``fp`` and more) with the ``root`` of their group: its least fingerprint."""
+    labels = components(near_links(nodes, radius)).select(F.col("node").alias("fp"), "root")
+    return nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fp (signed 64 bits) and component_id.
 
@@ -197,22 +205,36 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     marked = staged(fingerprints(docs), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(near_links(nodes, radius)).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = staged(rooted, "rooted")
+    rooted = staged(_rooted(nodes, radius), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = staged(rooted.join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+KEY = ["no_id", "id", "one", "two"]
+
+
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each group of near-duplicates, for unique doc_ids without nulls.
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, nulls last.
 
-    One row stays of all rows of one doc_id, and one of all null ids. ``similar.one_of_each_group`` keeps one row per group.
+    A row is told from others by its id and two 64-bit hashes of its text. Of rows that share an id, the least by
+    these hashes stays; of rows equal in id and text, any one. All columns stay, whatever their names.
+    Groups are those of ``near_duplicates``; rows without words are one of them. An empty table gives no rows.
     """
-    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id")]
-    keep = near_duplicates(docs, radius).where("doc_id <=> component_id").select(*key).distinct()
-    return docs.select("*", *key).join(keep, ["_id", "_no_id"], "left_semi").dropDuplicates(["_id", "_no_id"]).drop("_id", "_no_id")
+    doc_id = F.col("doc_id").cast("bigint")
+    text_hash = lambda seed: F.xxhash64(F.lit(seed), F.col("text").cast("string"))
+    key = [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_hash(1).alias("one"), text_hash(2).alias("two")]
+    marked = staged(fingerprints(docs, *key), "fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("least")), "nodes")
+    chosen = _rooted(nodes, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    times = marked.groupBy(*KEY).agg((F.count("*") > 1).alias("again"))
+    keep = staged(times.join(chosen, KEY, "left_semi"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), *key)
+    out = rows.join(keep.where("NOT again"), KEY, "left_semi")
+    if not keep.where("again").isEmpty():
+        # Rows that repeat are reduced to one before they meet, so that a hot row is no hot key of the join.
+        out = out.unionByName(rows.dropDuplicates(KEY).join(keep.where("again"), KEY, "left_semi"))
+    return out.select("row.*")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
