@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roostline.llm import decontamination, langid, mixing, sharding, similar
+from roostline.llm import decontamination, langid, mixing, sharding, simhash
 from roostline.llm.common import table
 from roostline.session import staged
 
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    return similar.one_of_each_group(docs)
+    """Of each group of near-duplicates (four-word shingles, at most four differing bits) the document with the smallest id stays."""
+    return simhash.one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
