@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from roostline.llm import arc, block_naming, decontamination, langid, mixing, recompression, sharding, simhash, tool_links, toxicity
+from roostline.llm import arc, block_naming, centroids, decontamination, langid, licenses, mixing, periodic, recompression, sharding, simhash, tool_links, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,9 @@ QUERIES = {
         langid.op8_language_id,
         block_naming.op9_exact_dedup,
         recompression.op10_substring_dedup,
+        centroids.op11_centroid_clusters,
+        licenses.op12_license_scan,
+        periodic.op13_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -26,4 +29,6 @@ ORACLE_SQL = {
     "op4_decontaminate": decontamination.OP4_SQL,
     "op5_arc_to_warc": arc.OP5_SQL,
     "op9_exact_dedup": block_naming.OP9_SQL,
+    "op11_centroid_clusters": centroids.OP11_SQL,
+    "op12_license_scan": licenses.OP12_SQL,
 }
