@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roostline.llm import tokens
 from roostline.llm.common import id_fold, table, without
+from roostline.session import staged
 
 FOLDS, HELD_OUT = 3, 1
 # Bounds of the sample that is fitted: documents per language, characters of each, and symbols per automaton.
@@ -25,11 +27,15 @@ SHORT_DOCS = SAMPLE_DOCS * SAMPLE_CHARS // LONG
 DOUBT = 20
 REFERENCE = 40_000
 BASELINE = 20_000
+# All automata together: with more than 40 languages each gets fewer symbols, so that the model stays below some 60 MB.
+TOTAL = 40 * REFERENCE
 # A text is parsed in stretches of so many symbols, all languages and many stretches side by side.
 STRETCH = 256
 SIDE_BY_SIDE = 4096
 
 GAP, UNSEEN = 0, 1
+# Slots that are tried for the edges of one state before they go behind all others.
+TRIES = 64
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -64,30 +70,76 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """``step[state + symbol]``: twice the next state's row offset, plus 1 if a phrase starts with the symbol.
-
-    The rows of all languages lie one after the other; ``starts`` are their start states. The last symbol
-    is padding, which leaves the state alone. ``rates`` are phrases per symbol that a language needs for itself.
+    """Suffix automata of all languages. The edges of a state lie at ``first[state] + symbol``; a slot whose ``owner`` is another
+    state holds none of its edges. Start states keep their edges apart, in ``opening`` (language, symbol): whatever follows a start
+    begins a phrase, and so does a symbol for which a state has no edge. ``rates``: phrases per symbol of a language's own text.
     """
 
     languages: list[str]
-    letters: list[int]
-    step: np.ndarray
+    letters: np.ndarray
     starts: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    opening: np.ndarray
     rates: np.ndarray
 
-    @property
-    def width(self) -> int:
-        return len(self.letters) + 3
-
 
-def letter_classes(letters: list[int]) -> np.ndarray:
-    """Symbol of each code point: gap for what is no letter, a number per letter of the samples, else unseen."""
-    out = np.array([UNSEEN if chr(i).isalpha() else GAP for i in range(sys.maxunicode + 1)], np.uint8)
+def packed(follow: list[dict[int, int]], width: int) -> tuple[np.ndarray, ...]:
+    """``first``, ``owner``, ``target`` and ``opening`` of one automaton: few edges a state share one array by displacement."""
+    first = np.zeros(len(follow), np.int32)
+    several = sorted((q for q in range(1, len(follow)) if len(follow[q]) > 1), key=lambda q: -len(follow[q]))
+    taken: dict[int, tuple[int, int]] = {}
+    low = top = width
+    for q in several:
+        symbols = sorted(follow[q])
+        while low in taken:
+            low += 1
+        for at in range(low, low + TRIES):
+            if not any(at + c - symbols[0] in taken for c in symbols):
+                break
+        else:
+            at = max(top, low)
+        first[q] = at - symbols[0]
+        for c in symbols:
+            taken[at + c - symbols[0]] = (q, follow[q][c])
+        top = max(top, at + symbols[-1] - symbols[0] + 1)
+    one = np.array([(q, *edge) for q, edges in enumerate(follow) if q and len(edges) == 1 for edge in edges.items()], np.int64).reshape(-1, 3)
+    size = top + len(one) + width + 1
+    owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    if taken:
+        slots = np.fromiter(taken, np.int64, len(taken))
+        owner[slots], target[slots] = np.array(list(taken.values()), np.int32).T
+    # A state with one edge fits into any free slot.
+    free = (np.flatnonzero(owner[width:] < 0) + width)[: len(one)]
+    owner[free], target[free] = one[:, 0], one[:, 2]
+    first[one[:, 0]] = free - one[:, 1]
+    used = int(np.flatnonzero(owner >= 0).max(initial=width)) + width + 1
+    opening = np.zeros(width, np.int32)
+    opening[list(follow[0])] = list(follow[0].values())
+    return first, owner[:used], target[:used], opening
+
+
+def alphabet(texts: Iterable[str]) -> np.ndarray:
+    """Code points of all letters of lower-cased texts, sorted."""
+    return np.array(sorted({ord(c) for text in texts for c in set(text.lower()) if c.isalpha()}), np.int32)
+
+
+def sample_classes(letters: np.ndarray) -> np.ndarray:
+    """Symbol of each code point of the samples: a number per letter, gap for all others."""
+    out = np.zeros(sys.maxunicode + 1, np.uint16 if len(letters) + 2 < 1 << 16 else np.int32)
     out[letters] = np.arange(2, len(letters) + 2)
     return out
 
 
+def letter_classes(letters: np.ndarray) -> np.ndarray:
+    """Symbol of each code point of any text: as in the samples, and unseen for letters that those lack."""
+    out = sample_classes(letters)
+    others = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    out[others & (out == GAP)] = UNSEEN
+    return out
+
+
 def symbols_of(text: str, classes: np.ndarray) -> np.ndarray:
     """Lower-cased letters as symbols; a run of anything else is one gap."""
     found = classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -102,91 +154,128 @@ def symbols_of(text: str, classes: np.ndarray) -> np.ndarray:
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Longest-match phrases that each text needs in each language: (texts, languages).
 
-    Every stretch of a text starts a phrase of its own, in all languages alike. All symbols count.
+    Every stretch of a text starts a phrase of its own, in all languages alike. All symbols count. A letter that a
+    language has not at all needs two phrases: with one, it would cost as much as a known letter after which nothing is known.
     """
-    pieces = [-(-len(t) // STRETCH) for t in texts]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    pieces = -(-lengths // STRETCH)
     owner = np.repeat(np.arange(len(texts)), pieces)
     out = np.zeros((len(texts), len(model.languages)), np.int64)
     if not len(owner):
         return out
-    padding = model.width - 1
-    cells = np.full((len(owner), STRETCH), padding, np.uint8)
+    cells = np.zeros((len(owner), STRETCH), texts[0].dtype)
     at = 0
     for t, n in zip(texts, pieces):
         cells[at : at + n].reshape(-1)[: len(t)] = t
         at += n
+    size = np.full(len(owner), STRETCH)
+    last = np.cumsum(pieces)[pieces > 0] - 1
+    size[last] = lengths[pieces > 0] - (pieces[pieces > 0] - 1) * STRETCH
+    # Long stretches first: those that have ended are cut off at the end of a block.
+    order = np.argsort(-size, kind="stable")
     for low in range(0, len(owner), SIDE_BY_SIDE):
-        block = np.ascontiguousarray(cells[low : low + SIDE_BY_SIDE].T)
-        state = np.repeat(model.starts[:, None], block.shape[1], axis=1)
+        some = order[low : low + SIDE_BY_SIDE]
+        block = np.ascontiguousarray(cells[some].T)
+        live = np.searchsorted(-size[some], -np.arange(STRETCH), "left")
+        state = np.repeat(model.starts[:, None], len(some), axis=1)
         ended = np.zeros(state.shape, np.int32)
-        for column in block:
-            state += column
-            found = np.take(model.step, state)
-            ended += found & 1
-            state = found >> 1
-        some = owner[low : low + SIDE_BY_SIDE]
-        np.add.at(out, some, ended.T)
+        for symbol, n in zip(block, live):
+            if not n:
+                break
+            symbol, now = symbol[:n], state[:, :n]
+            slot = model.first.take(now) + symbol
+            hit = model.owner.take(slot) == now
+            state = np.where(hit, model.target.take(slot), model.opening.take(symbol, axis=1))
+            ended[:, :n] += ~hit
+            ended[:, :n] += state == model.starts[:, None]
+        np.add.at(out, owner[some], ended.T)
     return out
 
 
+def joined(languages: list[str], letters: np.ndarray, parts: list[tuple]) -> Model:
+    """One model of (first, owner, target, opening, rate) of each language."""
+    slots = np.cumsum([0] + [len(p[1]) for p in parts])
+    states = np.cumsum([0] + [len(p[0]) for p in parts])
+    if max(slots[-1], states[-1]) >= 1 << 31:
+        raise ValueError("the automata of all languages need more than 2**31 cells")
+    put = lambda column, by: np.concatenate([p[column] + np.int32(d) for p, d in zip(parts, by)])
+    owner = np.concatenate([np.where(p[1] < 0, -1, p[1] + np.int32(d)) for p, d in zip(parts, states)])
+    opening = np.stack([p[3] + np.int32(d) for p, d in zip(parts, states)])
+    return Model(languages, letters, states[:-1].astype(np.int32), put(0, slots), owner.astype(np.int32), put(2, states), opening, np.array([p[4] for p in parts]))
+
+
+def fit_language(texts: list[str], letters: np.ndarray, classes: np.ndarray, most: int = REFERENCE) -> tuple:
+    """A packed automaton over up to ``most`` symbols; the symbols after those give the language's own phrase rate."""
+    own = symbols_of(" ".join(texts), classes)
+    # Half of a small sample is left to measure the rate with.
+    cut = min(most, max(1, len(own) * 2 // 3))
+    reference = own[:cut].tolist()
+    # Nothing that stands in a text is an unseen letter, and no edge is kept for one.
+    part = packed(suffix_automaton(reference), len(letters) + 2)
+    rest = own[cut : cut + BASELINE]
+    alone = joined([""], letters, [(*part, 1.0)])
+    return *part, max(1, int(phrases(alone, [rest])[0, 0])) / (len(rest) + DOUBT)
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
-    """Automata over up to 40,000 symbols of each language; the symbols after those give its own phrase rate."""
-    languages = sorted(samples)
-    texts = {lang: " ".join(samples[lang]).lower() for lang in languages}
-    seen: dict[str, int] = {}
-    for text in texts.values():
-        for c in text:
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    letters = sorted(ord(c) for c in sorted(seen, key=lambda c: (-seen[c], c))[:250])
-    classes = letter_classes(letters)
-    width = len(letters) + 3
-    tables, starts, offset, rest = [], [], 0, []
-    for lang in languages:
-        own = symbols_of(texts[lang], classes)
-        # Half of a small sample is left to measure the rate with.
-        cut = min(REFERENCE, max(1, len(own) * 2 // 3))
-        follow = suffix_automaton(own[:cut].tolist())
-        rest.append(own[cut : cut + BASELINE])
-        start = np.array([follow[0].get(c, 0) for c in range(width)], np.int64)
-        step = np.tile((start * width + offset) * 2 + 1, (len(follow), 1))
-        for state, edges in enumerate(follow):
-            step[state, list(edges)] = (np.array(list(edges.values()), np.int64) * width + offset) * 2
-        step[0] |= 1  # whatever comes first starts a phrase
-        step[:, UNSEEN] = offset * 2 + 1
-        step[:, width - 1] = (np.arange(len(follow)) * width + offset) * 2
-        starts.append(offset)
-        offset += step.size
-        tables.append(step.astype(np.int32).reshape(-1))
-    model = Model(languages, letters, np.concatenate(tables), np.array(starts, np.int32), np.ones(len(languages)))
-    model.rates = np.array([max(1, phrases(model, [t])[0, i]) / (len(t) + DOUBT) for i, t in enumerate(rest)])
-    return model
-
-
-def sampled(docs: DataFrame) -> dict[str, list[str]]:
-    """The fitted sample: of each language the documents with the smallest hash of their id, up to the bounds above.
-
-    Only rows of the learning folds with a language and a letter count. Texts of 200 or more characters come first;
-    shorter ones follow where a language has fewer than ``SAMPLE_DOCS`` of those, so that every such language has a
-    sample. The driver gets at most ``SAMPLE_DOCS`` times ``SAMPLE_CHARS`` characters of either kind a language.
+    """The model of samples that are at hand; ``fitted`` does the same on Spark."""
+    languages, letters = sorted(samples), alphabet(t for texts in samples.values() for t in texts)
+    classes, most = sample_classes(letters), min(REFERENCE, TOTAL // len(samples))
+    return joined(languages, letters, [fit_language(samples[lang], letters, classes, most) for lang in languages])
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """The sample that is fitted (lang, n, t): of each language the documents with the smallest hash of id and text, up to the bounds above.
+
+    Only rows of the learning folds with a language and a letter count, equal ones once. Texts of 200 or more characters come
+    first; shorter ones follow where a language has fewer than ``SAMPLE_DOCS`` of those, so that every such language has a
+    sample. How many rows a language has decides below which hash they are looked at, so no task sees more than
+    a few times the bound of a language, however many rows or tasks there are.
     """
     short = (F.length("text") < LONG).alias("short")
     learn = docs.where((id_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # Ranks are cut to the bound within each task, before the shuffle.
-    order = Window.partitionBy("lang", "short").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learn.select("lang", "doc_id", short).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SHORT_DOCS)
-    chosen = chosen.where(F.col("short") | (F.col("n") <= SAMPLE_DOCS))
-    text = F.substring("text", 1, SAMPLE_CHARS).alias("t")
-    key = ["lang", "doc_id", "short"]
-    rows = learn.select("lang", "doc_id", short, text).join(F.broadcast(chosen), key).dropDuplicates(["lang", "short", "n"]).collect()
-    out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.short, r.n)):
-        own = out.setdefault(r.lang, [])
-        if not r.short:
-            own.append(r.t)
-        elif sum(map(len, own)) < SAMPLE_DOCS * SAMPLE_CHARS and sum(len(t) >= LONG for t in own) < SAMPLE_DOCS:
-            own.append(r.t)
-    return out
+    named = learn.select("lang", short, F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    bound = F.when(F.col("short"), SHORT_DOCS).otherwise(SAMPLE_DOCS)
+    # The count of distinct rows is right within a few hundredths; twice the bound is far beyond its error.
+    sizes = named.groupBy("lang", "short").agg(F.approx_count_distinct("h", 0.02).alias("rows"))
+    sizes = staged(sizes.select("lang", "short", ((2 * bound + 50) / F.col("rows")).alias("share")), "langid-sizes")
+    near = named.join(sizes, ["lang", "short"]).where(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53))
+    near = near.groupBy("lang", "short", "h").agg(F.min("t").alias("t"))
+    order = Window.partitionBy("lang", "short").orderBy("h")
+    size = F.length("t")
+    chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
+    # Short ones fill up what long ones leave.
+    together = Window.partitionBy("lang").orderBy("short", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = chosen.select("lang", "short", "rank", "t", F.sum(size).over(together).alias("chars"), F.sum((~F.col("short")).cast("int")).over(together).alias("long"))
+    fills = (F.coalesce("chars", F.lit(0)) < SAMPLE_DOCS * SAMPLE_CHARS) & (F.coalesce("long", F.lit(0)) < SAMPLE_DOCS)
+    return before.where(~F.col("short") | fills).select("lang", (F.col("short").cast("int") * SAMPLE_DOCS + F.col("rank")).alias("n"), "t")
+
+
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(alphabet(batch.column(0).to_pylist()))], names=["letter"])
+
+
+def fitted(docs: DataFrame) -> Model | None:
+    """The model of the sample of ``docs``; None if there is nothing to learn. Each language is fitted in a task of its own.
+
+    The driver gets the letters and the packed automata, about 1.5 MB a language and 60 MB at most.
+    """
+    sample = staged(sampled(docs), "langid-sample")
+    languages = sample.select("lang").distinct().count()
+    if not languages:
+        return None
+    letters = np.array(sorted(r.letter for r in sample.select("t").mapInArrow(_letters, "letter INT").distinct().collect()), np.int32)
+    most = max(1, min(REFERENCE, TOTAL // languages))
+
+    def fit_group(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("n")
+        *arrays, rate = fit_language(ordered["t"].tolist(), letters, sample_classes(letters), most)
+        return pd.DataFrame({"lang": [ordered["lang"].iloc[0]], "arrays": [[a.tobytes() for a in arrays]], "rate": [rate]})
+
+    found = sample.groupBy("lang").applyInPandas(fit_group, "lang STRING, arrays ARRAY<BINARY>, rate DOUBLE").collect()
+    found.sort(key=lambda r: r.lang)
+    return joined([r.lang for r in found], letters, [(*(np.frombuffer(a, np.int32) for a in r.arrays), r.rate) for r in found])
 
 
 def _predict(shared, text_at: int, keep: list[int]):
@@ -225,9 +314,9 @@ def predictions(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     nothing can be learned are ``und`` with score 0. Ties go to the language first in order, an empty table
     gives no rows, columns of ``docs`` with the names of the added ones are replaced. Whole texts are parsed.
     """
-    samples = sampled(docs.select("doc_id", "text", "lang"))
-    # Plain arrays: about 10 MB a language, bounded by the sample.
-    shared = docs.sparkSession.sparkContext.broadcast(vars(fit(samples)) if samples else None)
+    model = fitted(docs.select("doc_id", "text", "lang"))
+    # Plain arrays, bounded by TOTAL.
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
     plain = without(docs, "held_out", "lang_pred", "score")
     kept = plain.columns if columns is None else columns
     given = plain.withColumn("held_out", id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).select(*{*kept, "text"}, "held_out")
