@@ -17,9 +17,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id as text; a null id counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
+def row_hash(*parts: Column) -> Column:
+    """The first 60 bits of the MD5 of what tells a row from others, such as its id and text; nulls count as empty texts."""
+    whole = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -96,16 +97,17 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return aimed.join(cut, F.col("src").eqNullSafe(F.col("s")), "left").select(*aimed.columns, F.coalesce("cut", F.lit(-1)).alias("cut"))
 
 
-def mix(df: DataFrame, size: Column, source: Column, ident: Column) -> DataFrame:
+def mix(df: DataFrame, size: Column, source: Column, *ident: Column) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target`` and ``copies`` (0 to 3, how often the mix takes a row).
 
-    Rows of equal id (null among them) share a hash and are taken or left together; null sizes count as
+    Rows equal in all of ``ident`` share a hash and are taken or left together: give the id and the text, so that rows
+    without an id, or with one of many, are chosen one by one. Null sizes count as
     0 and such rows get the whole repeats of their source only; a null source is a source of its own.
     An empty table gives no rows. Columns of ``df`` with the names of the added ones are replaced.
-    Hashes depend on ids alone: reruns agree, and a larger target keeps all that a smaller one took.
+    Hashes depend on ``ident`` alone: reruns agree, and a larger target keeps all that a smaller one took.
     """
     measured = F.struct(
-        F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), source.alias("src"), id_hash(ident).alias("h")
+        F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), source.alias("src"), row_hash(*ident).alias("h")
     ).alias("_m")
     kept = without(df, "size", "source_size", "target", "copies")
     payload = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")
@@ -119,20 +121,20 @@ def mix(df: DataFrame, size: Column, source: Column, ident: Column) -> DataFrame
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns only."""
-    mixed = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), word_count(F.col("d.text")), F.col("d.source"), F.col("d.doc_id"))
+    mixed = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), word_count(F.col("d.text")), F.col("d.source"), F.col("d.doc_id"), F.col("d.text"))
     return mixed.where("copies > 0").select("d", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("d.*")
 
 
 def op3_mix_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    mixed = mix(docs.select("doc_id", "source", "text"), word_count(F.col("text")), F.col("source"), F.col("doc_id"))
+    mixed = mix(docs.select("doc_id", "source", "text"), word_count(F.col("text")), F.col("source"), F.col("doc_id"), F.col("text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS s, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS w
         FROM sized GROUP BY source),
