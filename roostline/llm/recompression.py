@@ -33,10 +33,12 @@ HEAD = 6
 STRETCH = WINDOW - HEAD
 LEAST = -(2**63)
 UNKNOWN, SHARED, LATER = 0, 1, 2
+# What tells texts apart: the id, then 96 bits of hashes of the text and of whether there is an id.
+KEY = ["doc", "sub", "tie"]
 CHUNK = 1 << 16
 
-PHRASE = {"route": "BIGINT", "phrase": "BIGINT", "other": "INT", "status": "TINYINT", "doc": "BIGINT", "sub": "INT", "start": "INT", "count": "INT"}
-FOUND = {"route": "BIGINT", "other": "BIGINT", "status": "TINYINT", "doc": "BIGINT", "sub": "INT", "start": "INT"}
+PHRASE = {"route": "BIGINT", "phrase": "BIGINT", "other": "INT", "status": "TINYINT", "doc": "BIGINT", "sub": "BIGINT", "tie": "INT", "start": "INT", "count": "TINYINT"}
+FOUND = {"route": "BIGINT", "other": "BIGINT", "status": "TINYINT", "doc": "BIGINT", "sub": "BIGINT", "tie": "INT", "start": "INT"}
 _TYPES = {"BIGINT": pa.int64(), "INT": pa.int32(), "TINYINT": pa.int8()}
 
 
@@ -74,8 +76,8 @@ def first_names(names: np.ndarray) -> Ranges:
     return Ranges(names, 0x9FB21C651E98DF25)
 
 
-def second_names(names: np.ndarray) -> Ranges:
-    return Ranges(tokens.mixed(names ^ np.uint64(0x5851F42D4C957F2D)), 0xA24BAED4963EE407)
+def second_names(others: np.ndarray) -> Ranges:
+    return Ranges(others, 0xA24BAED4963EE407)
 
 
 def symbols(names: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -97,8 +99,8 @@ def symbols(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     return rank
 
 
-def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Phrases of the texts: text, first window (from 0 in its text), windows, name of the head, two names of the phrase.
+def phrases(names: np.ndarray, others: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Phrases of the texts, from both names of their words: text, first window (from 0 in its text), windows, name of the head, two names of the phrase.
 
     The windows of a phrase are the consecutive ones in which the same symbol ranks least.
     """
@@ -121,16 +123,14 @@ def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     edge = np.flatnonzero(np.diff(head, prepend=-1) | np.diff(text, prepend=-1))
     size = np.diff(np.r_[edge, len(head)])
     name, a, b = first_names(names), begin[edge], begin[edge] + size + WINDOW - 1
-    other = (second_names(names).of(a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    other = (second_names(others).of(a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return text[edge], within[edge], size, name.of(head[edge], head[edge] + HEAD), name.of(a, b), other
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per group of texts: first, last + 1, bytes, word starts and ends, names, and word offsets of the texts."""
-    for low, high, data, cuts in tokens.groups(texts):
-        starts, ends = tokens.spans(data, cuts, tokens.IS_SPACE)
-        first = np.searchsorted(starts, cuts)
-        yield low, high, data, starts, ends, tokens.names(data, starts, ends), first
+def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per group of texts: first, last + 1, both names of the words, and word offsets of the texts."""
+    for low, high, data, starts, ends, first in _texts(texts):
+        yield low, high, tokens.names(data, starts, ends), tokens.names(data, starts, ends, tokens.OTHER_VALUES), first
 
 
 def _scattered(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -144,33 +144,33 @@ def _elsewhere(other: np.ndarray, *place: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of the documents (doc, sub, text). What a batch can tell by itself is settled here.
+    """Phrases of the documents (doc, sub, tie, text). What a batch can tell by itself is settled here.
 
     A phrase met before in the batch is a repeat. Of the phrases that share a head one row goes to the other
     batches' rows of that head; so a head of which there are very many arrives once per batch.
     """
     for batch in batches:
-        order = np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))
-        docs, subs = batch.column(0).to_numpy()[order], batch.column(1).to_numpy()[order]
-        texts = batch.column(2).take(pa.array(order))
+        keys = [batch.column(i).to_numpy() for i in range(3)]
+        order = np.lexsort(keys[::-1])
+        texts = batch.column(3).take(pa.array(order))
         parts = []
-        for low, _, _, _, _, names, first in _words(texts):
-            text, *rest = phrases(names, first)
+        for low, _, names, others, first in _words(texts):
+            text, *rest = phrases(names, others, first)
             parts.append((text + low, *rest))
         if not parts:
             continue
         text, start, size, head, name, other = (np.concatenate(c) for c in zip(*parts))
         if not len(text):
             continue
-        doc, sub = docs[text], subs[text]
+        doc, sub, tie = (k[order][text] for k in keys)
         _, head_at, head_of, head_times = np.unique(head, return_index=True, return_inverse=True, return_counts=True)
         both = tokens.mixed(name + head * tokens.ODD) ^ other.view(np.uint32)
         _, name_at, name_of = np.unique(both, return_index=True, return_inverse=True)
         status = np.where(head_times[head_of] > 1, SHARED, UNKNOWN).astype(np.int8)
         first = name_at[name_of]
-        status[_elsewhere(first, doc, sub, start) & (name[first] == name) & (other[first] == other)] = LATER
+        status[_elsewhere(first, doc, sub, tie, start) & (name[first] == name) & (other[first] == other)] = LATER
         route = np.where(head_at[head_of] == np.arange(len(head)), head, _scattered(doc, start))
-        yield from _batches(PHRASE, [route, name, other, status, doc, sub, start, size])
+        yield from _batches(PHRASE, [route, name, other, status, doc, sub, tie, start, size])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def _repeats(keys: tuple[str, ...]):
             if not batch.num_rows:
                 continue
             values = [batch.column(k).to_numpy() for k in keys]
-            places = [batch.column(k).to_numpy() for k in ("doc", "sub", "start")]
+            places = [batch.column(k).to_numpy() for k in (*KEY, "start")]
             fresh = np.ones(batch.num_rows, bool)
             fresh[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
             first = np.maximum.accumulate(np.where(fresh, np.arange(batch.num_rows), 0))
@@ -242,44 +242,44 @@ def _expanded(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the windows that the spans of the documents (doc, sub, text, spans) list."""
+    """Names of the windows that the spans of the documents (doc, sub, tie, text, spans) list."""
     for batch in batches:
-        row, start, count = _spans(batch.column(3))
+        row, start, count = _spans(batch.column(4))
         by_row = np.argsort(row, kind="stable")
         row, start, count = row[by_row], start[by_row], count[by_row]
         parts = []
-        for low, high, _, _, _, names, first in _words(batch.column(2)):
+        for low, high, names, others, first in _words(batch.column(3)):
             a, b = np.searchsorted(row, low), np.searchsorted(row, high)
             if a == b:
                 continue
             at = _expanded(start[a:b], count[a:b])
             owner = np.repeat(row[a:b], count[a:b])
             begin = first[owner - low] + at
-            parts.append((owner, at, first_names(names).of(begin, begin + WINDOW), second_names(names).of(begin, begin + WINDOW)))
+            parts.append((owner, at, first_names(names).of(begin, begin + WINDOW), second_names(others).of(begin, begin + WINDOW)))
         if not parts:
             continue
         owner, at, one, two = (np.concatenate(c) for c in zip(*parts))
-        doc, sub = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
-        order = np.lexsort((at, sub, doc))
-        doc, sub, at, one, two = (x[order] for x in (doc, sub, at, one, two))
+        doc, sub, tie = (batch.column(i).to_numpy()[owner] for i in range(3))
+        order = np.lexsort((at, tie, sub, doc))
+        doc, sub, tie, at, one, two = (x[order] for x in (doc, sub, tie, at, one, two))
         _, seen, which = np.unique(one, return_index=True, return_inverse=True)
-        again = _elsewhere(seen[which], doc, sub, at) & (two[seen[which]] == two)
+        again = _elsewhere(seen[which], doc, sub, tie, at) & (two[seen[which]] == two)
         status = np.where(again, LATER, SHARED).astype(np.int8)
-        yield from _batches(FOUND, [np.where(again, _scattered(doc, at), one), two, status, doc, sub, at])
+        yield from _batches(FOUND, [np.where(again, _scattered(doc, at), one), two, status, doc, sub, tie, at])
 
 
-REPORT = "doc BIGINT, sub INT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept STRING"
+REPORT = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept STRING"
 
 
 def _remove(with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drops the words of all windows that the spans of the documents (doc, sub, text, spans) list."""
+        """Drops the words of all windows that the spans of the documents (doc_id, text, spans) list."""
         for batch in batches:
-            row, start, count = _spans(batch.column(3))
+            row, start, count = _spans(batch.column(2))
             by_row = np.argsort(row, kind="stable")
             row, start, count = row[by_row], start[by_row], count[by_row]
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for low, high, data, starts, ends, _, first in _texts(batch.column(2)):
+            for low, high, data, starts, ends, first in _texts(batch.column(1)):
                 a, b = np.searchsorted(row, low), np.searchsorted(row, high)
                 begin = first[row[a:b] - low] + start[a:b]
                 covers = np.zeros(len(starts) + 1, np.int64)
@@ -306,23 +306,23 @@ def _remove(with_text: bool):
             join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
             texts = pa.array(kept_texts if with_text else [None] * len(digests), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), join(n_words), join(n_removed), pa.array(digests, pa.string()), texts],
-                names=["doc", "sub", "n_words", "n_removed", "kept_sha256", "kept"],
+                [batch.column(0), join(n_words), join(n_removed), pa.array(digests, pa.string()), texts],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
     return remove
 
 
 def _texts(texts: pa.Array):
-    """As ``_words``, without names."""
+    """Per group of texts: first, last + 1, bytes, word starts and ends, and word offsets of the texts."""
     for low, high, data, cuts in tokens.groups(texts):
         starts, ends = tokens.spans(data, cuts, tokens.IS_SPACE)
-        yield low, high, data, starts, ends, None, np.searchsorted(starts, cuts)
+        yield low, high, data, starts, ends, np.searchsorted(starts, cuts)
 
 
 def _listed(spans: DataFrame) -> DataFrame:
     """One row per document with its spans; there are no more of them than words in it."""
-    return spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -331,30 +331,31 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     A window is 20 consecutive words of a document. Each word that a window covers is removed if the same words
     already start earlier: in a document of smaller id (null is the smallest), or earlier in the same one.
     All windows are judged on the input. Rows of equal id and text are one document and get the same result;
-    rows of equal id and different texts follow each other by a hash of the text. Null texts have no words, texts
+    rows of equal id and different texts follow each other by hashes of the text, and so do null ids and -2**63. Null texts have no words, texts
     under 20 words no window; an empty table gives no rows.
     """
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("doc"), F.hash("text").alias("sub")]
-    given = docs.select(*key, F.col("text").cast("string").alias("text"))
-    place = ["doc", "sub", "start"]
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    named = lambda seed: F.xxhash64(F.lit(seed), text, doc_id.isNull())
+    key = [F.coalesce(doc_id, F.lit(LEAST)).alias("doc"), named(1).alias("sub"), F.shiftright(named(2), 32).cast("int").alias("tie")]
+    given = docs.select(doc_id.alias("doc_id"), *key, text.alias("text"))
+    place = [*KEY, "start"]
 
-    cut = given.mapInArrow(_cut, _ddl(PHRASE)).repartition("route").sortWithinPartitions("route")
+    cut = given.drop("doc_id").mapInArrow(_cut, _ddl(PHRASE)).repartition("route").sortWithinPartitions("route")
     candidates = staged(cut.mapInArrow(_shared, _ddl(PHRASE)), "phrases")
     # A phrase that its batch has settled need not meet the others of its name.
     target = F.when(F.col("status") == LATER, F.col("route")).otherwise(F.col("phrase"))
     dealt = candidates.withColumn("route", target).repartition("route").sortWithinPartitions("route", "other", *place)
-    named = staged(dealt.mapInArrow(_repeats(("route", "other")), _ddl(PHRASE)).drop("route", "phrase", "other"), "phrases")
+    settled = staged(dealt.mapInArrow(_repeats(("route", "other")), _ddl(PHRASE)).drop("route", "phrase", "other"), "phrases")
 
     # A document that is there twice has its phrases listed once.
-    later = named.where(F.col("status") == LATER).select("doc", "sub", "start", "count")
-    open_ = _listed(named.where(F.col("status") < LATER).select("doc", "sub", "start", "count").distinct())
-    found = given.join(open_, ["doc", "sub"]).select("doc", "sub", "text", "spans").mapInArrow(_windows, _ddl(FOUND))
+    later = settled.where(F.col("status") == LATER).select(*place, "count")
+    open_ = _listed(settled.where(F.col("status") < LATER).select(*place, "count").distinct())
+    found = given.join(open_, KEY).select(*KEY, "text", "spans").mapInArrow(_windows, _ddl(FOUND))
     ordered = found.repartition("route").sortWithinPartitions("route", "other", *place)
     windows = ordered.mapInArrow(_repeats(("route", "other")), _ddl(FOUND)).where(F.col("status") == LATER)
-    gone = _listed(later.unionByName(windows.select("doc", "sub", "start", F.lit(1).alias("count"))))
-    report = given.join(gone, ["doc", "sub"], "left").select("doc", "sub", "text", "spans").mapInArrow(_remove(with_text), REPORT)
-    doc_id = F.when(F.col("doc") != LEAST, F.col("doc")).alias("doc_id")
-    return report.select(doc_id, "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
+    gone = _listed(later.unionByName(windows.select(*place, F.lit(1).cast("tinyint").alias("count"))))
+    report = given.join(gone, KEY, "left").select("doc_id", "text", "spans").mapInArrow(_remove(with_text), REPORT)
+    return report if with_text else report.drop("kept")
 
 
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

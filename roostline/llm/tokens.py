@@ -27,6 +27,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+OTHER_VALUES = mixed(np.arange(1001, 1257, dtype=np.uint64) * ODD)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -68,8 +69,11 @@ def spans(data: np.ndarray, cuts: np.ndarray, separator: np.ndarray) -> tuple[np
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each word: a polynomial of its bytes, mixed. Works through pieces of 1 MB of text."""
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """A 64-bit name for each word: a polynomial of its bytes, mixed. Works through pieces of 1 MB of text.
+
+    With ``OTHER_VALUES`` it is a second name, independent of the first: words that share one do not share both.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -78,7 +82,7 @@ def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         piece = data[low : ends[upto - 1]]
         up, down = _powers_kept.upto(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_VALUES[piece] * up[: len(piece)], out=sums[1:])
+        np.cumsum(values[piece] * up[: len(piece)], out=sums[1:])
         s, e = starts[at:upto] - low, ends[at:upto] - low
         out[at:upto] = mixed((sums[e] - sums[s]) * down[s])
         at = upto
