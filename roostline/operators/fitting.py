@@ -2,31 +2,27 @@
 
 The unit of work is one key's runs: the distinct interval lengths of that key, at
 most ``sqrt(2 * span)`` rows however many visits there are (see
-``intervals.interval_histogram``). Spark shuffles the runs by key and each task fits
-its keys in NumPy; nothing goes through the driver, and the number of keys is free.
+``intervals.interval_histogram``). They are gathered into one row per key, each start of
+each plan becomes a row of its own, and all searches run side by side as expressions
+(see ``least_squares``): one job, no Python, nothing through the driver, any number of keys.
 """
 
 from __future__ import annotations
 
-import sys
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roostline.functions import curves
 from roostline.functions.curves import LOG_FLOOR
-
-# The functions below travel to the executors themselves, which need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from roostline.operators.least_squares import CONVERGED, STALLED, search
 
 PARAMETERS = ("a1", "l1", "a2", "l2")
-FREE = (-np.inf,) * 4, (np.inf,) * 4
+FREE = (-math.inf,) * 4, (math.inf,) * 4
 
 # Start points, bounds and limits whose results have to agree.
 SITE_START = (0.4, 0.5, 0.6, 0.02)
@@ -46,14 +42,6 @@ SITE_ROUNDS = 10_000
 SPECIES_ROUNDS = 20_000
 BREAK_ROUNDS = 15_000
 
-# A fit has settled when three rounds running gain less than this share of the error,
-# the tolerance least-squares solvers commonly use.
-SETTLED_GAIN = 1e-8
-
-# And only where no free parameter could, to first order, take more than this share off the error.
-SETTLED_SHARE = 1e-3
-NEGLIGIBLE = 1e-8
-
 # Two equal components have equal derivatives; this parts them the same way every time.
 SYMMETRY_BREAK = 1e-3
 
@@ -88,108 +76,80 @@ LOG_SINGLE_START = FitPlan(
 )
 
 
-def _model(theta, t, log_space):
-    """Values and derivatives of the curve, or of its logarithm."""
-    e1, e2 = np.exp(-theta[1] * t), np.exp(-theta[3] * t)
-    f = theta[0] * e1 + theta[2] * e2
-    slopes = np.stack([e1, -theta[0] * t * e1, e2, -theta[2] * t * e2], axis=1)
-    if not log_space:
-        return f, slopes
-    g = f + LOG_FLOOR
-    return np.log(g), slopes / g[:, None]
-
-
-def _share(pull, slopes, weight, cost):
-    """The largest share of the error that one parameter could take away, to first order."""
-    return (pull**2 / np.maximum((weight @ slopes**2) * cost, 1e-300)).max(initial=0.0)
-
+def _gathered(runs: DataFrame, keys: list[str], log_space: bool) -> DataFrame:
+    """One row per key: its points by t (bounded by its time span), their number, mean interval and scatter within runs."""
+    mean_log = curves.run_mean_log(F.col("k_lo"), F.col("k_hi"), F.col("n")) if log_space else F.lit(None)
+    m = F.col("m").cast("double")
+    point = F.struct(F.col("t").cast("double").alias("t"), m.alias("m"), F.col("mean_y").alias("y"), mean_log.cast("double").alias("log"))
+    total = F.max("total")
+    return runs.select(*keys, F.col("n").alias("total"), point.alias("point")).groupBy(*keys).agg(
+        total.alias("n"),
+        F.array_sort(F.collect_list("point")).alias("points"),
+        (F.sum(F.col("point.m") * F.col("point.t")) / total).alias("mean_t"),
+        (F.sum(F.col("point.m") * (F.col("point.m") * F.col("point.m") - 1.0)) / (12.0 * total * total)).alias("within"),
+    )
 
-def _minimise(t, weight, target, start, plan):
-    """Damped least squares within bounds; returns (parameters, fault) or None.
 
-    Without fault the search has settled or the gradient is small; "stalled" is a search that finds
-    no lower point though the gradient is not, "not converged" one that used up its rounds. A parameter at a bound that the gradient pushes outwards is held for the
-    round.
-    """
-    lower, upper = (np.asarray(b, float) for b in plan.bounds)
-    theta = np.asarray(start, float)
-    value, slopes = _model(theta, t, plan.log_space)
-    cost = weight @ (target - value) ** 2
-    if not np.isfinite(cost):
-        return None
-    # An error this small beside the values themselves is rounding, of which nothing is to be gained.
-    rounding = NEGLIGIBLE * (weight @ target**2)
-    damping, settled = 1e-3, 0
-    for _ in range(plan.max_rounds):
-        pull = slopes.T @ (weight * (target - value))
-        held = ((theta <= lower) & (pull < 0)) | ((theta >= upper) & (pull > 0))
-        free = np.flatnonzero(~held)
-        if free.size == 0 or np.abs(pull[free]).max() < 1e-14 * (1.0 + cost):
-            return theta, None
-        moved, step = free, np.zeros(0)
-        while moved.size:
-            curve = (slopes[:, moved] * weight[:, None]).T @ slopes[:, moved]
-            damped = curve + damping * np.diag(np.maximum(np.diag(curve), 1e-12))
-            step = np.linalg.lstsq(damped, pull[moved], rcond=None)[0]
-            # A parameter at its bound that this step would push out stays, and the others are solved for again.
-            out = ((theta[moved] <= lower[moved]) & (step < 0)) | ((theta[moved] >= upper[moved]) & (step > 0))
-            if not out.any():
-                break
-            moved = moved[~out]
-        trial = theta.copy()
-        trial[moved] += step[: moved.size]
-        trial = np.clip(trial, lower, upper)
-        t_value, t_slopes = _model(trial, t, plan.log_space)
-        t_cost = weight @ (target - t_value) ** 2
-        if np.isfinite(t_cost) and np.isfinite(t_slopes).all() and t_cost <= cost:
-            settled = settled + 1 if cost - t_cost <= SETTLED_GAIN * cost else 0
-            theta, value, slopes, cost = trial, t_value, t_slopes, t_cost
-            damping = max(damping / 5.0, 1e-12)
-            # Damped steps gain little anywhere, so a search has settled only where no parameter could gain much either.
-            if settled >= 3 and _share(slopes[:, free].T @ (weight * (target - value)), slopes[:, free], weight, cost + rounding) <= SETTLED_SHARE:
-                return theta, None
-        else:
-            damping *= 4.0
-            if damping > 1e16:
-                return theta, None if _share(pull[free], slopes[:, free], weight, cost + rounding) <= SETTLED_SHARE else "stalled"
-    return theta, "not converged"
-
-
-def _fit_key(runs: pd.DataFrame, plan: FitPlan) -> tuple:
-    """(parameters, start number, converged, reason) of one key."""
-    t, m = runs["t"].to_numpy(float), runs["m"].to_numpy(float)
-    mean_y, total = runs["mean_y"].to_numpy(float), float(runs["n"].iloc[0])
-    target = runs["mean_log"].to_numpy(float) if plan.log_space else mean_y
-    if total < plan.min_points:
-        return None, None, False, "too few points"
-    rate = 1.0
-    if plan.rate_scale is not None:
-        mean_ivi = float(m @ t / total)
-        if mean_ivi <= 0:
-            return None, None, False, "no feasible start"
-        rate = 1.0 / (plan.rate_scale * mean_ivi)
-    within = float((m * (m * m - 1.0)).sum() / (12.0 * total * total))
-    spread = (total * total - 1.0) / (12.0 * total)
-    reason = "no feasible start"
+def _starts(plan: FitPlan) -> Column:
+    """The starts of a plan that lie within its bounds, as (start_no, start); none for a key with too few points."""
+    rate = F.lit(1.0) if plan.rate_scale is None else 1.0 / F.nullif(plan.rate_scale * F.col("mean_t"), F.lit(0.0))
+    each = []
     for number, (a1, r1, a2, r2) in enumerate(plan.starts, start=1):
-        start = np.array([a1, r1 * rate, a2, r2 * rate])
-        if (start < plan.bounds[0]).any() or (start > plan.bounds[1]).any():
-            continue
-        if start[0] == start[2] and start[1] == start[3]:
-            start[1] *= 1.0 + SYMMETRY_BREAK
-        with np.errstate(all="ignore"):
-            found = _minimise(t, m, target, np.clip(start, *plan.bounds), plan)
-        if found is None or found[1]:
-            reason = found[1] if found else "not converged"
-            continue
-        theta = found[0]
-        with np.errstate(all="ignore"):
-            fitted = _model(theta, t, False)[0] + (LOG_FLOOR if plan.log_space else 0.0)
-            score = 1.0 - (within + m @ (mean_y - fitted) ** 2) / spread
-        if plan.min_r2 is None or score > plan.min_r2:
-            return theta, number, True, None
-        reason = "poor fit"
-    return None, None, False, reason
+        values = [F.lit(float(a1)), r1 * rate, F.lit(float(a2)), r2 * rate]
+        inside = [c.between(float(low), float(high)) for c, low, high in zip(values, *plan.bounds)]
+        if (a1, r1) == (a2, r2):
+            values[1] = F.least(values[1] * (1.0 + SYMMETRY_BREAK), F.lit(float(plan.bounds[1][1])))
+        possible = (F.col("n") >= plan.min_points) & inside[0] & inside[1] & inside[2] & inside[3]
+        if plan.rate_scale is not None:
+            possible = possible & (F.col("mean_t") > 0)
+        each.append(F.struct(F.lit(number).cast("bigint").alias("start_no"), F.array(*values).alias("start"), possible.alias("possible")))
+    return F.filter(F.array(*each), lambda s: s["possible"])
+
+
+def _searched(gathered: DataFrame, plan: FitPlan, keys: list[str]) -> DataFrame:
+    """Keys, n, start_no, theta, status and R2 of every start, a row each; a key without a start has one row of nulls."""
+    tasks = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    started = gathered.withColumn("s", F.explode_outer(_starts(plan))).select("*", F.col("s.start_no").alias("start_no"))
+    # The number is stated, since by bytes AQE would put all searches into one task.
+    started = started.repartition(tasks, *keys, "start_no")
+    target = "log" if plan.log_space else "y"
+    started = started.withColumns({"start": F.col("s.start"), "aims": F.expr(f"transform(points, p -> named_struct('t', p.t, 'm', p.m, 'y', p.{target}))")})
+    found = search("aims", "start", plan.log_space, plan.bounds, plan.max_rounds)
+    sought = started.withColumn("found", F.when(F.col("start_no").isNotNull(), found))
+    floor = LOG_FLOOR if plan.log_space else 0.0
+
+    def off(total: Column, p: Column) -> Column:
+        theta = [F.get("found.theta", F.lit(i)) for i in range(4)]
+        return total + p["m"] * F.pow(p["y"] - curves.survivor(p["t"], *theta) - floor, F.lit(2.0))
+
+    n = F.col("n").cast("double")
+    r2 = 1.0 - (F.col("within") + F.aggregate("points", F.lit(0.0), off)) / F.nullif((n * n - 1.0) / (12.0 * n), F.lit(0.0))
+    return sought.select(*keys, "n", "start_no", "found.theta", "found.status", r2.alias("r2"))
+
+
+def _chosen(searched: DataFrame, name: str, plan: FitPlan, keys: list[str]) -> DataFrame:
+    """The first acceptable start of each key, or why there is none: what became of the last one."""
+    good = F.col("status") == CONVERGED
+    if plan.min_r2 is not None:
+        good = good & (F.col("r2") > plan.min_r2)
+    fault = F.when(F.col("status") == CONVERGED, "poor fit").when(F.col("status") == STALLED, "stalled").otherwise("not converged")
+    best = searched.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.min_by(F.when(good, F.col("theta")), F.when(good, F.col("start_no"))).alias("theta"),
+        F.min(F.when(good, F.col("start_no"))).alias("start_no"),
+        F.max_by(F.when(F.col("start_no").isNotNull(), fault), "start_no").alias("fault"),
+    )
+    reason = F.when(F.col("start_no").isNotNull(), None).when(F.col("n") < plan.min_points, "too few points")
+    return best.select(
+        F.lit(name).alias("fit"),
+        F.lit(plan.log_space).alias("log_space"),
+        *keys,
+        "n",
+        *[F.get("theta", F.lit(i)).alias(p) for i, p in enumerate(PARAMETERS)],
+        "start_no",
+        F.col("start_no").isNotNull().alias("converged"),
+        reason.otherwise(F.coalesce("fault", F.lit("no feasible start"))).alias("reason"),
+    )
 
 
 def fit_all(runs: DataFrame, plans: dict[str, FitPlan], keys: Sequence[str] = ("site",)) -> DataFrame:
@@ -199,33 +159,8 @@ def fit_all(runs: DataFrame, plans: dict[str, FitPlan], keys: Sequence[str] = ("
     row for every key and plan; parameters are null where nothing was accepted.
     """
     keys = list(keys)
-    lo, hi, n = F.col("k_lo"), F.col("k_hi"), F.col("n")
-    mean_log = curves.run_mean_log(lo, hi, n) if any(p.log_space for p in plans.values()) else F.lit(None)
-    data = runs.select(*keys, "t", "m", "n", "mean_y", mean_log.cast("double").alias("mean_log"))
-    schema = T.StructType(
-        [T.StructField("fit", T.StringType()), T.StructField("log_space", T.BooleanType())]
-        + [data.schema[k] for k in keys]
-        + [T.StructField("n", T.LongType())]
-        + [T.StructField(p, T.DoubleType()) for p in PARAMETERS]
-        + [
-            T.StructField("start_no", T.LongType()),
-            T.StructField("converged", T.BooleanType()),
-            T.StructField("reason", T.StringType()),
-        ]
-    )
-
-    def one_key(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t")
-        rows = []
-        for name, plan in plans.items():
-            theta, number, converged, reason = _fit_key(part, plan)
-            values = [None] * 4 if theta is None else [float(v) for v in theta]
-            rows.append([name, plan.log_space, *key, int(part["n"].iloc[0]), *values, number, converged, reason])
-        return pd.DataFrame(rows, columns=schema.names).astype({"start_no": "Int64"})
-
-    # The number is stated, since by bytes AQE would put all fits into one task.
-    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return data.repartition(tasks, *keys).groupBy(*keys).applyInPandas(one_key, schema)
+    gathered = _gathered(runs, keys, any(p.log_space for p in plans.values()))
+    return reduce(DataFrame.unionByName, [_chosen(_searched(gathered, plan, keys), name, plan, keys) for name, plan in plans.items()])
 
 
 def fit(runs: DataFrame, plan: FitPlan, keys: Sequence[str] = ("site",)) -> DataFrame:
