@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roostline.functions.text import SEED, condition_from_text, midpoint
 from roostline.session import once, staged
 
+# Days of a block of time. A row meets the intervals of its own block only, one a day at most.
+BLOCK_DAYS = 64
+
 
 def _dated(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("site").isNotNull() & F.col("change_date").isNotNull())
@@ -38,21 +41,30 @@ def intervals(changes: DataFrame, strict: bool = False) -> DataFrame:
     return whole.where(F.col("end_date").isNull() | (F.col("end_date") > F.col("start_date")))
 
 
+def _block(day: Column) -> Column:
+    return F.floor(F.unix_date(day.cast("date")) / BLOCK_DAYS)
+
+
 def _joined(df: DataFrame, spans: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
     """Left join on site and range; the intervals of a site are disjoint, so rows stay single.
 
-    The site equality makes it a hash or merge join: broadcast while the interval
-    table is below the session's size threshold, otherwise shuffled, where AQE
-    splits a site that holds much of the table.
+    Time is cut into blocks: an interval with an end is listed in each block that it touches, and a row looks only
+    at those of its site and block. The last interval of a site, which has no end, is joined by site
+    alone. So the work is linear in rows however many changes a site has, and intervals are listed no more than once
+    per change and block of the site's span. Both joins have equality keys: broadcast while the
+    tables are below the session's size threshold, otherwise shuffled, where AQE splits a site that holds much of the table.
     """
-    right = spans.select(F.col("site").alias("__site"), "start_date", "end_date", *columns)
-    day = F.col(date)
-    hit = (
-        (F.col("site") == F.col("__site"))
-        & (day >= F.col("start_date"))
-        & (F.col("end_date").isNull() | (day < F.col("end_date")))
+    value = F.struct(*columns)
+    last = spans.where(F.col("end_date").isNull()).select(F.col("site").alias("__site"), F.col("start_date").alias("__since"), value.alias("__last"))
+    blocks = F.sequence(_block(F.col("start_date")), _block(F.date_sub("end_date", 1)))
+    ended = spans.where(F.col("end_date").isNotNull()).select(
+        F.col("site").alias("__of"), F.explode(blocks).alias("__block"), F.col("start_date").alias("__from"), F.col("end_date").alias("__to"), value.alias("__value")
     )
-    return df.join(right, hit, "left").drop("__site", "start_date", "end_date")
+    day = F.col(date)
+    hit = (F.col("site") == F.col("__of")) & (_block(day) == F.col("__block")) & (day >= F.col("__from")) & (day < F.col("__to"))
+    both = df.join(last, F.col("site") == F.col("__site"), "left").join(ended, hit, "left")
+    found = F.when(day >= F.col("__since"), F.col("__last")).otherwise(F.col("__value"))
+    return both.select(*[df[f"`{c}`"] for c in df.columns], *[found[c].alias(c) for c in columns])
 
 
 def condition_in_force(
