@@ -45,16 +45,16 @@ def read_layouts(spark: SparkSession, sheets: dict[str, str], multi_line: bool =
     """One frame per *distinct header*, each over all files that share it, also when files of one sheet differ.
 
     Headers come from one job, and the plan grows with the number of layouts, not with the number of sheets.
-    All cells are strings; ``source_sheet`` names the sheet of each row. Cells may hold line breaks, for which
-    a file is read by one task; ``multi_line=False`` splits large files and takes each line for a row.
+    All cells are strings; ``source_sheet`` names the sheet of each row. Cells may hold line breaks;
+    ``multi_line=False`` takes each line for a row and reads large files once instead of twice.
     """
     if not sheets:
         return []
     paths = list(sheets.values())
     frames = []
-    for header, files in layouts(spark, paths).items():
-        data = read_files(spark, header, files, {}, multi_line)
-        frames.append(data.withColumn("source_sheet", _sheet_of(F.col("_metadata.file_path"), paths)))
+    for layout in layouts(spark, paths):
+        data = read_files(spark, layout, {}, multi_line, file="source_sheet")
+        frames.append(data.withColumn("source_sheet", _sheet_of(F.col("source_sheet"), paths)))
     return frames
 
 
