@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,66 @@ from pyspark.sql import functions as F
 from roostline.sources import schemas
 
 
+# Names that start with an underscore are no data to Spark's readers.
+NEW, OLD = "_new", "_old"
+
+
+class _Files:
+    """Where the versions of one published table lie."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._folder, self._name = folder, name
+        self._store = self._path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def beside(self, kind: str) -> str:
+        return f"{self._folder}/{kind}-{self._name}-{uuid.uuid4().hex}"
+
+    def current(self) -> str:
+        return f"{self._folder}/{self._name}"
+
+    def exists(self) -> bool:
+        return self._store.exists(self._path(self.current()))
+
+    def _left(self, kind: str) -> list[str]:
+        """What earlier publications of this name left."""
+        if not self._store.exists(self._path(self._folder)):
+            return []
+        start = f"{kind}-{self._name}-"
+        names = [f.getPath().getName() for f in self._store.listStatus(self._path(self._folder))]
+        return [f"{self._folder}/{n}" for n in sorted(names) if n.startswith(start) and len(n) == len(start) + 32]
+
+    def set_aside(self) -> str | None:
+        """The version that a publication took away before it died, if there is no current one."""
+        left = self._left(OLD)
+        return left[0] if left and not self.exists() else None
+
+    def _rename(self, old: str, new: str) -> None:
+        if not self._store.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old} cannot be renamed to {new}")
+
+    def mend(self) -> None:
+        """Put back what was taken away, and delete what was not finished."""
+        aside = self.set_aside()
+        if aside:
+            self._rename(aside, self.current())
+        for path in [*self._left(NEW), *self._left(OLD)]:
+            self._store.delete(self._path(path), True)
+
+    def replace(self, fresh: str) -> None:
+        aside = self.beside(OLD)
+        if self.exists():
+            self._rename(self.current(), aside)
+        self._rename(fresh, self.current())
+        self._store.delete(self._path(aside), True)
+
+
+def read_result(spark: SparkSession, folder: str, filename: str) -> DataFrame:
+    """The published table of that name, also while a publication of it is broken off."""
+    files = _Files(spark, f"{folder}/tables", filename)
+    return spark.read.parquet(files.set_aside() or files.current())
+
+
 def publish(
     result: DataFrame,
     folder: str,
@@ -21,10 +82,17 @@ def publish(
 ) -> str:
     """Write ``result`` and append its record to the manifest; returns the table's path.
 
-    The record is written after the table, so it never names an unfinished one.
+    The table is written beside the current one and takes its place by rename when it is whole; the record follows. A
+    publication that dies before leaves the current table as it is, and one that dies between the two renames
+    leaves it under another name, where ``read_result`` and the next publication find it. Publications of one
+    name must not run at the same time.
     """
     relative = f"tables/{filename}"
-    result.write.mode("overwrite").parquet(f"{folder}/{relative}")
+    files = _Files(result.sparkSession, f"{folder}/tables", filename)
+    files.mend()
+    fresh = files.beside(NEW)
+    result.write.parquet(fresh)
+    files.replace(fresh)
     stamp = created or datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
     values = [title, description, filename, kind, stamp, relative]
     record = result.sparkSession.createDataFrame([values], schemas.MANIFEST_JSON)

@@ -107,18 +107,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**DIALECT).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet folder. A hot partition value is spread over several files by the rebalance."""
+def _overwrite(keep_others: bool) -> dict[str, str]:
+    """Whether writing by key replaces the folders of the keys that come, or the whole folder."""
+    return {"partitionOverwriteMode": "dynamic" if keep_others else "static"}
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), keep_others: bool = False) -> None:
+    """Parquet folder. A hot partition value is spread over several files by the rebalance.
+
+    ``keep_others`` replaces only the partitions that ``df`` has rows of, each when the job has succeeded.
+    """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.write.mode("overwrite").options(**_overwrite(keep_others and bool(partition_by))).partitionBy(*partition_by).parquet(path)
 
 
-def write_csv_per_key(df: DataFrame, path: str, key: str) -> None:
+def write_csv_per_key(df: DataFrame, path: str, key: str, keep_others: bool = True) -> None:
     """One CSV folder per value of ``key``, data columns in name order.
 
     ``rebalance`` gathers the rows of a small key into few files and splits a key
-    that holds much of the table over many.
+    that holds much of the table over many. The folders of keys without a row in ``df`` stay as they are,
+    as one county's file says nothing of another's; ``keep_others=False`` clears them.
     """
     columns = sorted(c for c in df.columns if c != key)
     (
@@ -126,6 +135,6 @@ def write_csv_per_key(df: DataFrame, path: str, key: str) -> None:
         .hint("rebalance", key)
         .write.mode("overwrite")
         .partitionBy(key)
-        .options(**DIALECT)
+        .options(**DIALECT, **_overwrite(keep_others))
         .csv(path)
     )
