@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roostline.functions.text import iso_week, week_start
-from roostline.session import once
+from roostline.session import once, staged
 
 SITE = ("site",)
 
@@ -119,15 +119,31 @@ def weekly_presence(
     )
 
 
+# Species in one bitmap.
+BITS = 64
+
+
+def presence_bitmaps(present: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``(groups, part, bits)`` from ``(groups, bird)``: the species of each group as bitmaps of 64.
+
+    Species are numbered once, over the whole table; there are as many rows in that window as there are species.
+    """
+    number = F.row_number().over(Window.orderBy("bird")) - 1
+    numbers = staged(present.select("bird").distinct().select("bird", number.alias("no")), "species")
+    bit = F.expr(f"shiftleft(1L, no % {BITS})")
+    marked = present.join(numbers, "bird").withColumns({"part": F.floor(F.col("no") / BITS), "bit": bit})
+    return marked.groupBy(*groups, "part").agg(F.bit_or("bit").alias("bits"))
+
+
 def _compared(
     present: DataFrame, periods: DataFrame, period: str, keys: list[str], recent: Sequence[int], earlier: Sequence[int]
 ) -> DataFrame:
     """Dissimilarity of the species of two windows of periods, for each observed period.
 
     ``present`` has ``(keys, period, bird)``, ``periods`` all observed ``(keys, period)``.
-    The windows are offsets into the past, counted in observed periods. Each
-    presence is handed on to the periods whose windows reach back to it, and the
-    windows are then compared species by species. Windows cut off by the start
+    The windows are offsets into the past, counted in observed periods. The species of a
+    period travel as bitmaps: each is handed on to the periods whose windows reach back to it, and a window is
+    their union, compared by counting bits. Windows cut off by the start
     count as they are; where none of ``earlier`` exists the value is null.
     """
     # The nulls a join would filter out go first, so that both uses below are one exchange.
@@ -137,22 +153,26 @@ def _compared(
     placed = periods.select(*keys, period, place.alias("place"))
     steps = [F.struct(F.lit(i).alias("by"), F.lit(True).alias("recent")) for i in recent]
     steps += [F.struct(F.lit(i).alias("by"), F.lit(False).alias("recent")) for i in earlier]
-    # Brought together by species before they multiply: what is handed on stays in its task.
-    together = present.join(placed, [*keys, period]).repartition(*keys, "bird")
-    handed = together.select(*keys, "bird", "place", F.explode(F.array(*steps)).alias("s"))
-    species = (
-        handed.groupBy(*keys, (F.col("place") + F.col("s.by")).alias("place"), "bird")
-        .agg(F.max("s.recent").alias("b"), F.max(~F.col("s.recent")).alias("a"))
+    # Brought together before they multiply: what is handed on stays in its task.
+    maps = presence_bitmaps(present, [*keys, period])
+    together = maps.join(placed, [*keys, period]).repartition(*keys, "part")
+    handed = together.select(*keys, "part", "bits", "place", F.explode(F.array(*steps)).alias("s"))
+    union = lambda chosen: F.bit_or(F.when(chosen, F.col("bits")))
+    windows = (
+        handed.groupBy(*keys, (F.col("place") + F.col("s.by")).alias("place"), "part")
+        .agg(union(F.col("s.recent")).alias("b"), union(~F.col("s.recent")).alias("a"))
         .select(*keys, "place", F.lit(None).cast(periods.schema[period].dataType).alias(period), "a", "b")
     )
     # One row per observed period joins the sums, so that empty ones are kept and
     # places past the end, which have no period, are dropped.
-    observed = placed.select(*keys, "place", period, F.lit(False).alias("a"), F.lit(False).alias("b"))
-    sums = species.unionByName(observed).groupBy(*keys, "place").agg(
+    none = F.lit(None).cast("bigint")
+    observed = placed.select(*keys, "place", period, none.alias("a"), none.alias("b"))
+    species = lambda bits: F.coalesce(F.sum(F.bit_count(bits)), F.lit(0))
+    sums = windows.unionByName(observed).groupBy(*keys, "place").agg(
         F.max(period).alias(period),
-        F.count(F.when(F.col("a"), 1)).alias("a"),
-        F.count(F.when(F.col("b"), 1)).alias("b"),
-        F.count(F.when(F.col("a") & F.col("b"), 1)).alias("shared"),
+        species(F.col("a")).alias("a"),
+        species(F.col("b")).alias("b"),
+        species(F.col("a").bitwiseAND(F.col("b"))).alias("shared"),
     )
     reached = (F.col("place") > min(earlier)) & (F.col("a") + F.col("b") > 0)
     value = F.when(reached, 1.0 - 2.0 * F.col("shared") / (F.col("a") + F.col("b")))
