@@ -33,7 +33,7 @@ HEAD = 6
 STRETCH = WINDOW - HEAD
 LEAST = -(2**63)
 UNKNOWN, SHARED, LATER = 0, 1, 2
-# What tells texts apart: the id, then 96 bits of hashes of the text and of whether there is an id.
+# What tells texts apart: the id, then 95 bits of hashes of the text; the last bit of ``tie`` tells that there is no id.
 KEY = ["doc", "sub", "tie"]
 CHUNK = 1 << 16
 
@@ -268,18 +268,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(FOUND, [np.where(again, _scattered(doc, at), one), two, status, doc, sub, tie, at])
 
 
-REPORT = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept STRING"
+REPORT = "doc BIGINT, tie INT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, kept STRING"
 
 
 def _remove(with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drops the words of all windows that the spans of the documents (doc_id, text, spans) list."""
+        """Drops the words of all windows that the spans of the documents (doc, sub, tie, text, spans) list."""
         for batch in batches:
-            row, start, count = _spans(batch.column(2))
+            row, start, count = _spans(batch.column(4))
             by_row = np.argsort(row, kind="stable")
             row, start, count = row[by_row], start[by_row], count[by_row]
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for low, high, data, starts, ends, first in _texts(batch.column(1)):
+            for low, high, data, starts, ends, first in _texts(batch.column(3)):
                 a, b = np.searchsorted(row, low), np.searchsorted(row, high)
                 begin = first[row[a:b] - low] + start[a:b]
                 covers = np.zeros(len(starts) + 1, np.int64)
@@ -306,8 +306,8 @@ def _remove(with_text: bool):
             join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
             texts = pa.array(kept_texts if with_text else [None] * len(digests), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), join(n_words), join(n_removed), pa.array(digests, pa.string()), texts],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+                [batch.column(0), batch.column(2), join(n_words), join(n_removed), pa.array(digests, pa.string()), texts],
+                names=["doc", "tie", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
     return remove
@@ -335,12 +335,12 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     under 20 words no window; an empty table gives no rows.
     """
     doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
-    named = lambda seed: F.xxhash64(F.lit(seed), text, doc_id.isNull())
-    key = [F.coalesce(doc_id, F.lit(LEAST)).alias("doc"), named(1).alias("sub"), F.shiftright(named(2), 32).cast("int").alias("tie")]
-    given = docs.select(doc_id.alias("doc_id"), *key, text.alias("text"))
+    named = lambda seed: F.xxhash64(F.lit(seed), text)
+    tie = F.shiftright(named(2), 32).cast("int").bitwiseAND(-2).bitwiseOR(doc_id.isNull().cast("int"))
+    given = docs.select(F.coalesce(doc_id, F.lit(LEAST)).alias("doc"), named(1).alias("sub"), tie.alias("tie"), text.alias("text"))
     place = [*KEY, "start"]
 
-    cut = given.drop("doc_id").mapInArrow(_cut, _ddl(PHRASE)).repartition("route").sortWithinPartitions("route")
+    cut = given.mapInArrow(_cut, _ddl(PHRASE)).repartition("route").sortWithinPartitions("route")
     candidates = staged(cut.mapInArrow(_shared, _ddl(PHRASE)), "phrases")
     # A phrase that its batch has settled need not meet the others of its name.
     target = F.when(F.col("status") == LATER, F.col("route")).otherwise(F.col("phrase"))
@@ -354,8 +354,10 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ordered = found.repartition("route").sortWithinPartitions("route", "other", *place)
     windows = ordered.mapInArrow(_repeats(("route", "other")), _ddl(FOUND)).where(F.col("status") == LATER)
     gone = _listed(later.unionByName(windows.select(*place, F.lit(1).cast("tinyint").alias("count"))))
-    report = given.join(gone, KEY, "left").select("doc_id", "text", "spans").mapInArrow(_remove(with_text), REPORT)
-    return report if with_text else report.drop("kept")
+    # Both joins shuffle the same columns of the documents, so that it is done once.
+    report = given.join(gone, KEY, "left").select(*KEY, "text", "spans").mapInArrow(_remove(with_text), REPORT)
+    doc_id = F.when(F.col("tie").bitwiseAND(1) == 0, F.col("doc")).alias("doc_id")
+    return report.select(doc_id, "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
 
 
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
