@@ -3,23 +3,35 @@
 The unit of work is one key's runs: the distinct interval lengths of that key, at
 most ``sqrt(2 * span)`` rows however many visits there are (see
 ``intervals.interval_histogram``). They are gathered into one row per key, each start of
-each plan becomes a row of its own, and all searches run side by side as expressions
-(see ``least_squares``): one job, no Python, nothing through the driver, any number of keys.
+each plan becomes a row of its own, and the tasks take the searches of many keys and starts side by side
+(see ``least_squares``): one job, nothing through the driver, any number of keys. Starts, gathering, choice,
+goodness of fit and everything else are Spark expressions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roostline.functions import curves
 from roostline.functions.curves import LOG_FLOOR
-from roostline.operators.least_squares import CONVERGED, STALLED, search
+from roostline.operators.least_squares import CONVERGED, HOPELESS, STALLED, Points, search
+
+# The functions below travel to the executors themselves, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Points that are searched over at once in a task.
+AT_ONCE = 500_000
 
 PARAMETERS = ("a1", "l1", "a2", "l2")
 FREE = (-math.inf,) * 4, (math.inf,) * 4
@@ -106,25 +118,68 @@ def _starts(plan: FitPlan) -> Column:
     return F.filter(F.array(*each), lambda s: s["possible"])
 
 
+def _searches(plan: FitPlan, key_columns: int):
+    """Solves the searches of a batch: keys, n, start_no, start, within, points -> keys, n, start_no, theta, status, r2."""
+    floor = LOG_FLOOR if plan.log_space else None
+
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, start_no, start, within, listed = batch.columns[key_columns:]
+        some = np.flatnonzero(start_no.is_valid().to_numpy(zero_copy_only=False))
+        theta, status, r2 = np.full((len(n), 4), np.nan), np.full(len(n), HOPELESS), np.full(len(n), np.nan)
+        if len(some):
+            listed, given = listed.take(pa.array(some)), start.take(pa.array(some)).flatten().to_numpy().reshape(-1, 4)
+            t, m, mean_y, log = (listed.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            points = Points(t, m, log if plan.log_space else mean_y, listed.value_lengths().to_numpy().astype(np.int64))
+            total = n.to_numpy().astype(float)[some]
+            scatter, spread = within.to_numpy()[some], (total * total - 1) / (12 * total)
+            number = start_no.take(pa.array(some)).to_numpy()
+            # Starts of one key lie together and in order.
+            rows = [tuple(c[int(i)].as_py() for c in batch.columns[:key_columns]) for i in some]
+            key = np.cumsum([i > 0 and rows[i] != rows[i - 1] for i in range(len(rows))])
+
+            def scores(which: np.ndarray, at: np.ndarray) -> np.ndarray:
+                own = np.zeros(len(some), bool)
+                own[which] = True
+                part = points.only(own)
+                e1, e2, a1, a2 = part.curves(at)
+                off = mean_y[own[points.owner]] - a1 * e1 - a2 * e2 - (floor or 0.0)
+                return 1 - (scatter[which] + part.sums(part.m * off * off)) / spread[which]
+
+            def accepted(which: np.ndarray, at: np.ndarray) -> np.ndarray:
+                """Later starts of a key for which an earlier one is good enough."""
+                good = which if plan.min_r2 is None else which[scores(which, at) > plan.min_r2]
+                first = np.full(key[-1] + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, key[good], number[good])
+                return np.flatnonzero(number > first[key])
+
+            with np.errstate(all="ignore"):
+                found, how = search(points, given, floor, plan.bounds, plan.max_rounds, accepted)
+                theta[some], status[some], r2[some] = found, how, scores(np.arange(len(some)), found)
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(n) + 1, 4), pa.int32()), pa.array(theta.reshape(-1)))
+        columns = [*batch.columns[: key_columns + 2], parts, pa.array(status.astype(np.int32)), pa.array(r2)]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: key_columns + 2], "theta", "status", "r2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # So many searches at once that their points stay a few million numbers.
+            upto = np.cumsum(batch.columns[-1].value_lengths().fill_null(0).to_numpy()) // AT_ONCE
+            edges = np.r_[0, np.flatnonzero(np.diff(upto)) + 1, batch.num_rows]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if high > low:
+                    yield solve(batch.slice(int(low), int(high - low)))
+
+    return run
+
+
 def _searched(gathered: DataFrame, plan: FitPlan, keys: list[str]) -> DataFrame:
     """Keys, n, start_no, theta, status and R2 of every start, a row each; a key without a start has one row of nulls."""
     tasks = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    started = gathered.withColumn("s", F.explode_outer(_starts(plan))).select("*", F.col("s.start_no").alias("start_no"))
     # The number is stated, since by bytes AQE would put all searches into one task.
-    started = started.repartition(tasks, *keys, "start_no")
-    target = "log" if plan.log_space else "y"
-    started = started.withColumns({"start": F.col("s.start"), "aims": F.expr(f"transform(points, p -> named_struct('t', p.t, 'm', p.m, 'y', p.{target}))")})
-    found = search("aims", "start", plan.log_space, plan.bounds, plan.max_rounds)
-    sought = started.withColumn("found", F.when(F.col("start_no").isNotNull(), found))
-    floor = LOG_FLOOR if plan.log_space else 0.0
-
-    def off(total: Column, p: Column) -> Column:
-        theta = [F.get("found.theta", F.lit(i)) for i in range(4)]
-        return total + p["m"] * F.pow(p["y"] - curves.survivor(p["t"], *theta) - floor, F.lit(2.0))
-
-    n = F.col("n").cast("double")
-    r2 = 1.0 - (F.col("within") + F.aggregate("points", F.lit(0.0), off)) / F.nullif((n * n - 1.0) / (12.0 * n), F.lit(0.0))
-    return sought.select(*keys, "n", "start_no", "found.theta", "found.status", r2.alias("r2"))
+    dealt = gathered.repartition(tasks, *keys).withColumn("s", F.explode_outer(_starts(plan)))
+    given = dealt.select(*keys, "n", "s.start_no", "s.start", "within", "points")
+    out = given.select(*keys, "n", "start_no").schema
+    out = out.add("theta", T.ArrayType(T.DoubleType())).add("status", "integer").add("r2", "double")
+    return given.mapInArrow(_searches(plan, len(keys)), out)
 
 
 def _chosen(searched: DataFrame, name: str, plan: FitPlan, keys: list[str]) -> DataFrame:

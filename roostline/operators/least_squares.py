@@ -1,24 +1,21 @@
-"""Damped least squares of the double-exponential curve as one Spark SQL expression.
+"""Damped least squares of the double-exponential curve for many searches at once.
 
-A search is one row: its parameters, the error and its derivatives, the damping and how it stands. Its points
-are an array of (t, m, y): distinct intervals with their number and mean height, which a key's time span bounds.
-A round solves the damped 4 by 4 system in closed form, sums error, gradient and curvature at the point tried in one
-pass over the array, and keeps it or raises the damping. All searches of a table run side by side in the tasks of
-one job; one that has ended passes through the remaining rounds as it is.
-
-The expression is put together as text, since a thousand calls to build it as columns take seconds.
+A search is a curve's points (t, m, y: distinct intervals with their number and mean height, which a key's time
+span bounds) and a start. Spark deals the searches to tasks; a task takes the searches of a batch side by side: one
+round forms the errors, gradients and curvatures of all of them in one pass over their points, solves
+their 4 by 4 systems together and moves each. A search that has ended leaves the batch.
 """
 
 from __future__ import annotations
 
-import functools
-import math
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark import cloudpickle
 
-from roostline.functions.curves import LOG_FLOOR
+# The functions below travel to the executors themselves, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A search has settled when three rounds running gain less than this share of the error,
 # the tolerance least-squares solvers commonly use.
@@ -30,152 +27,121 @@ NEGLIGIBLE = 1e-8
 # A gradient below this is none.
 FLAT = 1e-14
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-3, 1e-12, 1e16
-# Rounds are counted in blocks, so that an ended search skips many at once.
-BLOCK = 100
-
-SEARCHING, CONVERGED, STALLED, HOPELESS = 0, 1, 2, 3
-PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
-ALL = range(4)
-Bounds = tuple[tuple[float, ...], tuple[float, ...]]
-
-
-def number(x: float) -> str:
-    return f"double('{float(x)!r}')"
-
-
-def let(name: str, value: str, body: str) -> str:
-    """``body``, in which ``name`` stands for a value that is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def case(condition: str, then: str, otherwise: str) -> str:
-    return f"CASE WHEN {condition} THEN {then} ELSE {otherwise} END"
-
-
-def finite(x: str) -> str:
-    return f"(NOT isnan({x}) AND abs({x}) < double('Infinity'))"
-
-
-def struct(**fields: str) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
-
 
-def array(parts: Sequence[str]) -> str:
-    return f"array({', '.join(parts)})"
-
-
-def _sums(points: str, theta: str, log_space: bool) -> str:
-    """Over the points: error, four sums of the gradient, ten of the curvature."""
-    curve = f"{theta}[0] * e.one + {theta}[2] * e.two"
-    slopes = ["e.one", f"-{theta}[0] * p.t * e.one", "e.two", f"-{theta}[2] * p.t * e.two"]
-    if log_space:
-        off = let("h", f"{curve} + {number(LOG_FLOOR)}", array(["p.y - ln(h)", *[f"({s}) / h" for s in slopes]]))
-    else:
-        off = array([f"p.y - ({curve})", *slopes])
-    terms = ["d[0] * d[0]", *[f"d[0] * d[{i + 1}]" for i in ALL], *[f"d[{i + 1}] * d[{j + 1}]" for i, j in PAIRS]]
-    grown = array([f"total[{k}] + p.m * {term}" for k, term in enumerate(terms)])
-    both = struct(one=f"exp(-{theta}[1] * p.t)", two=f"exp(-{theta}[3] * p.t)")
-    return f"aggregate({points}, array_repeat(0D, 15), (total, p) -> {let('d', let('e', both, off), grown)})"
-
-
-def _pull(sums: str, i: int) -> str:
-    return f"{sums}[{1 + i}]"
-
-
-def _curve(sums: str, i: int, j: int) -> str:
-    return f"{sums}[{5 + PAIRS.index((min(i, j), max(i, j)))}]"
-
-
-def _solved(moves: list[str] | None) -> str:
-    """The damped step of the parameters that move, 0 for the others: a factorisation in closed form."""
-    only = lambda i, x, other: x if moves is None else case(moves[i], x, other)
-    b = [only(i, _pull("s.sums", i), "0D") for i in ALL]
-    own = [only(i, f"{c} + s.damping * greatest({c}, 1e-12D)", "1D") for i in ALL for c in [_curve("s.sums", i, i)]]
-    off = {(i, j): c if moves is None else case(f"{moves[i]} AND {moves[j]}", c, "0D") for i, j in PAIRS for c in [_curve("s.sums", i, j)]}
-    # A pivot that rounding has taken away stands for a direction without information: no step along it.
-    pivot = lambda x: let("v", x, case("v > 0", "v", "double('Infinity')"))
-    back = let("y2", "w[2] - f32 * w[3]", let("y1", "w[1] - f21 * y2 - f31 * w[3]", array(["w[0] - f10 * y1 - f20 * y2 - f30 * w[3]", "y1", "y2", "w[3]"])))
-    forward = let(
-        "w1",
-        f"{b[1]} - f10 * {b[0]}",
-        let("w2", f"{b[2]} - f20 * {b[0]} - f21 * w1", array([f"{b[0]} / g0", "w1 / g1", "w2 / g2", f"({b[3]} - f30 * {b[0]} - f31 * w1 - f32 * w2) / g3"])),
-    )
-    out = let("w", forward, back)
-    steps = [
-        ("g3", pivot(f"{own[3]} - f30 * f30 * g0 - f31 * f31 * g1 - f32 * f32 * g2")),
-        ("f32", f"({off[2, 3]} - f30 * f20 * g0 - f31 * f21 * g1) / g2"),
-        ("g2", pivot(f"{own[2]} - f20 * f20 * g0 - f21 * f21 * g1")),
-        *[(f"f{i}1", f"({off[1, i]} - f{i}0 * f10 * g0) / g1") for i in (3, 2)],
-        ("g1", pivot(f"{own[1]} - f10 * f10 * g0")),
-        *[(f"f{i}0", f"{off[0, i]} / g0") for i in (3, 2, 1)],
-        ("g0", pivot(own[0])),
-    ]
-    for name, value in steps:
-        out = let(name, value, out)
-    return out
-
-
-def _step(bounds: Bounds | None) -> str:
-    """The step of a round. A parameter at its bound that the step would push out stays, and the others are solved for again."""
-    if bounds is None:
-        return _solved(None)
-    outward = [f"(s.theta[{i}] <= {number(low)} AND x[{i}] < 0 OR s.theta[{i}] >= {number(high)} AND x[{i}] > 0)" for i, (low, high) in enumerate(zip(*bounds))]
-    stays = array([f"done.moves[{i}] AND {outward[i]}" for i in ALL])
-    checked = let("o", stays, struct(moves=array([f"done.moves[{i}] AND NOT o[{i}]" for i in ALL]), x="x", found="NOT (o[0] OR o[1] OR o[2] OR o[3])"))
-    again = let("x", _solved([f"done.moves[{i}]" for i in ALL]), checked)
-    start = struct(moves="transform(held, h -> NOT h)", x="array_repeat(0D, 4)", found="false")
-    return f"aggregate(array(0, 1, 2, 3, 4), {start}, (done, n) -> {case('done.found', 'done', again)}, done -> done.x)"
+# Pairs of five columns, those of the first one first; and where the pairs of the others lie in a square.
+ROWS, COLUMNS = np.triu_indices(5)
+SQUARE = np.array([np.flatnonzero((ROWS == min(i, j)) & (COLUMNS == max(i, j)))[0] for i in range(1, 5) for j in range(1, 5)])
+
+SEARCHING, CONVERGED, STALLED, HOPELESS, NEEDLESS = 0, 1, 2, 3, 4
+Bounds = tuple[Sequence[float], Sequence[float]]
+
+
+class Points:
+    """The points of several searches one after the other; ``sums`` adds up columns within each search."""
+
+    def __init__(self, t: np.ndarray, m: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> None:
+        self.t, self.m, self.y, self.sizes = t, m, y, sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.edges = np.cumsum(sizes) - sizes
+
+    def only(self, keep: np.ndarray) -> Points:
+        inside = keep[self.owner]
+        return Points(self.t[inside], self.m[inside], self.y[inside], self.sizes[keep])
+
+    def sums(self, columns: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(columns, self.edges, axis=-1)
+
+    def curves(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both components of each curve, and both amplitudes, at the points."""
+        a1, l1, a2, l2 = theta.T[:, self.owner]
+        return np.exp(-l1 * self.t), np.exp(-l2 * self.t), a1, a2
+
+    def judge(self, theta: np.ndarray, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Error, gradient (n, 4) and curvature (n, 4, 4) of the searches; in log space above ``floor``."""
+        e1, e2, a1, a2 = self.curves(theta)
+        value = a1 * e1 + a2 * e2
+        # What is off, and the four slopes; then all products of two of them.
+        v = np.stack([value, e1, -a1 * self.t * e1, e2, -a2 * self.t * e2])
+        if floor is not None:
+            value = value + floor
+            v[1:] /= value
+            v[0] = np.log(value)
+        v[0] = self.y - v[0]
+        sums = self.sums(v[ROWS] * v[COLUMNS] * self.m)
+        return sums[0], sums[1:5].T, sums[SQUARE].T.reshape(-1, 4, 4)
+
+
+def _steps(theta: np.ndarray, pull: np.ndarray, curve: np.ndarray, damping: np.ndarray, held: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The damped step of each search. A parameter at its bound that a step would push out stays, and the others are solved for again."""
+    own = np.einsum("nii->ni", curve)
+    damped = curve + np.einsum("ni,ij->nij", damping[:, None] * np.maximum(own, 1e-12), np.eye(4))
+    moves, steps, todo = ~held, np.zeros_like(theta), np.arange(len(theta))
+    while len(todo):
+        some = moves[todo]
+        system, right = damped[todo] * (some[:, :, None] & some[:, None, :]), (pull[todo] * some)[:, :, None]
+        try:
+            x = np.linalg.solve(system + ~some[:, :, None] * np.eye(4), right)[:, :, 0]
+        except np.linalg.LinAlgError:
+            # Directions without information have no step.
+            x = (np.linalg.pinv(system, rcond=4 * np.finfo(float).eps, hermitian=True) @ right)[:, :, 0]
+        out = some & (((theta[todo] <= low) & (x < 0)) | ((theta[todo] >= high) & (x > 0)))
+        steps[todo] = x * some
+        again = out.any(axis=1)
+        moves[todo[again]] &= ~out[again]
+        todo = todo[again]
+    return steps * moves
+
+
+def _share(pull: np.ndarray, curve: np.ndarray, cost: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The largest share of the error that one free parameter could take away, to first order."""
+    own = np.einsum("nii->ni", curve)
+    return np.where(held, 0.0, pull**2 / np.maximum(own * cost[:, None], 1e-300)).max(axis=1)
 
 
-def _share(sums: str, cost: str) -> str:
-    """The largest share of the error that one free parameter could take away, to first order."""
-    gain = lambda i: f"{_pull(sums, i)} * {_pull(sums, i)} / greatest({_curve(sums, i, i)} * ({cost}), 1e-300D)"
-    return f"greatest({', '.join(case(f'held[{i}]', '0D', gain(i)) for i in ALL)})"
-
-
-def _state(theta: str, sums: str, cost: str, damping: str, settled: str, status: str) -> str:
-    return struct(theta=theta, sums=sums, cost=cost, damping=damping, settled=settled, status=status)
-
-
-def _round(points: str, log_space: bool, bounds: Bounds | None) -> str:
-    """One round of the search ``s`` that has not ended."""
-    kept = _state("there", "found", "found[0]", f"greatest(s.damping / 5D, {number(LEAST_DAMPING)})", "settled", case(f"settled >= 3 AND {_share('found', 'found[0] + rounding')} <= {number(SETTLED_SHARE)}", str(CONVERGED), str(SEARCHING)))
-    end = case(f"{_share('s.sums', 's.cost + rounding')} <= {number(SETTLED_SHARE)}", str(CONVERGED), str(STALLED))
-    back = _state("s.theta", "s.sums", "s.cost", "s.damping * 4D", "s.settled", case(f"s.damping * 4D > {number(MOST_DAMPING)}", end, str(SEARCHING)))
-    settled = case(f"s.cost - found[0] <= s.cost * {number(SETTLED_GAIN)}", "s.settled + 1", "0")
-    better = f"{finite('aggregate(found, 0D, (a, b) -> a + b)')} AND found[0] <= s.cost"
-    judged = case(better, let("settled", settled, kept), back)
-    trial = [f"s.theta[{i}] + x[{i}]" for i in ALL]
-    if bounds is not None:
-        trial = [f"least(greatest({c}, {number(low)}), {number(high)})" for c, low, high in zip(trial, *bounds)]
-    moved = let("x", _step(bounds), let("there", array(trial), let("found", _sums(points, "there", log_space), judged)))
-    flat = " AND ".join(f"(held[{i}] OR abs({_pull('s.sums', i)}) < {number(FLAT)} * (s.cost + 1D))" for i in ALL)
-    tried = case(flat, _state("s.theta", "s.sums", "s.cost", "s.damping", "s.settled", str(CONVERGED)), moved)
-    if bounds is None:
-        return let("held", "array_repeat(false, 4)", tried)
-    at_bound = [
-        f"(s.theta[{i}] <= {number(low)} AND {_pull('s.sums', i)} < 0 OR s.theta[{i}] >= {number(high)} AND {_pull('s.sums', i)} > 0)" for i, (low, high) in enumerate(zip(*bounds))
-    ]
-    return let("held", array(at_bound), tried)
-
-
-@functools.cache
-def _search(points: str, start: str, log_space: bool, bounds: Bounds | None, rounds: int) -> str:
-    going = f"s.status = {SEARCHING}"
-    block = f"aggregate(sequence(1, {min(BLOCK, rounds)}), s, (s, k) -> {case(going, _round(points, log_space, bounds), 's')})"
-    first = case(finite("begin[0]"), str(SEARCHING), str(HOPELESS))
-    begin = _state(start, "begin", "begin[0]", number(FIRST_DAMPING), "0", first)
-    every = f"aggregate(sequence(1, {-(-rounds // BLOCK)}), {begin}, (s, n) -> {case(going, block, 's')}, s -> {struct(theta='s.theta', status='s.status')})"
-    rounding = f"aggregate({points}, 0D, (total, p) -> total + p.m * p.y * p.y) * {number(NEGLIGIBLE)}"
-    return let("rounding", rounding, let("begin", _sums(points, start, log_space), every))
-
-
-def search(points: str, start: str, log_space: bool, bounds: Bounds | None, rounds: int) -> Column:
-    """``theta`` (four parameters) and ``status`` of the search from column ``start`` (an array of four) over column ``points`` (an array of t, m, y).
+def search(points: Points, start: np.ndarray, floor: float | None, bounds: Bounds, rounds: int, accepted) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters (n, 4) and status of each search.
 
     ``CONVERGED``: it has settled, or the gradient is small. ``STALLED``: it finds no lower point though the gradient
-    is not small. ``SEARCHING``: its rounds are used up. ``HOPELESS``: the error at the start is no number.
-    A parameter at a bound that the gradient pushes outwards is held for the round. Without bounds (``None`` or infinite ones) none is.
+    is not small. ``SEARCHING``: its rounds are used up. ``HOPELESS``: the error at the start is no number. ``accepted``
+    is told of searches as they converge (numbers and parameters) and answers which ones need not go on: ``NEEDLESS``.
+    A parameter at a bound that the gradient pushes outwards is held for the round.
     """
-    free = bounds is None or all(map(math.isinf, (*bounds[0], *bounds[1])))
-    return F.expr(_search(points, start, log_space, None if free else bounds, rounds))
+    low, high = (np.asarray(b, float) for b in bounds)
+    out, status = start.copy(), np.full(len(start), SEARCHING)
+    with np.errstate(all="ignore"):
+        rounding = NEGLIGIBLE * points.sums(points.m * points.y**2)
+        theta, number = start.copy(), np.arange(len(start))
+        cost, pull, curve = points.judge(theta, floor)
+        damping, settled = np.full(len(start), FIRST_DAMPING), np.zeros(len(start), int)
+        now = np.where(np.isfinite(cost), SEARCHING, HOPELESS)
+        for done_rounds in range(rounds + 1):
+            ended = now != SEARCHING
+            if ended.any():
+                out[number], status[number] = theta, now
+                good = number[now == CONVERGED]
+                needless = accepted(good, out[good]) if len(good) else np.zeros(0, int)
+                status[needless[status[needless] == SEARCHING]] = NEEDLESS
+                keep = status[number] == SEARCHING
+                if not keep.any():
+                    break
+                points = points.only(keep)
+                theta, number, cost, pull, curve, damping, settled, rounding = (x[keep] for x in (theta, number, cost, pull, curve, damping, settled, rounding))
+            if done_rounds == rounds:
+                break
+            now = np.full(len(theta), SEARCHING)
+            held = ((theta <= low) & (pull < 0)) | ((theta >= high) & (pull > 0))
+            flat = (held | (np.abs(pull) < FLAT * (1 + cost[:, None]))).all(axis=1)
+            trial = np.clip(theta + _steps(theta, pull, curve, damping, held, low, high), low, high)
+            t_cost, t_pull, t_curve = points.judge(trial, floor)
+            better = np.isfinite(t_cost) & np.isfinite(t_curve).all(axis=(1, 2)) & (t_cost <= cost) & ~flat
+            settled = np.where(better, np.where(cost - t_cost <= SETTLED_GAIN * cost, settled + 1, 0), settled)
+            # Damped steps gain little anywhere, so a search has settled only where no parameter could gain much either.
+            stuck = ~better & (damping * 4 > MOST_DAMPING)
+            at_rest = _share(pull, curve, cost + rounding, held) <= SETTLED_SHARE
+            theta, cost = np.where(better[:, None], trial, theta), np.where(better, t_cost, cost)
+            pull, curve = np.where(better[:, None], t_pull, pull), np.where(better[:, None, None], t_curve, curve)
+            done = better & (settled >= 3) & (_share(pull, curve, cost + rounding, held) <= SETTLED_SHARE)
+            damping = np.where(better, np.maximum(damping / 5, LEAST_DAMPING), damping * 4)
+            now = np.where(flat | done | (stuck & at_rest), CONVERGED, np.where(stuck, STALLED, SEARCHING))
+        out[number[status[number] == SEARCHING]] = theta[status[number] == SEARCHING]
+    return out, status
