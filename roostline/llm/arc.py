@@ -166,6 +166,7 @@ def pages_to_arc(pages: DataFrame, path: str) -> None:
     _write(columns.mapInArrow(_to_arc, "value BINARY"), path)
 
 
+EARLIEST = "00010101000000"
 SLIM = "record_id STRING, archive STRING, idx INT, page_id BIGINT, payload_bytes BIGINT, sha1 STRING, kind STRING"
 
 
@@ -196,13 +197,21 @@ def references(records: DataFrame) -> DataFrame:
     return joined.select("archive", "idx", F.col("b.record_id").alias("target"))
 
 
+def warc_date(r: Record) -> str:
+    """The date of a record, of which any number of digits may be given from the year on; what is missing is the earliest."""
+    digits = r.date[:14]
+    try:
+        return datetime.strptime(digits + EARLIEST[len(digits) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        raise ValueError(f"{r.archive}, record {r.index}: {r.date!r} is no date") from None
+
+
 def warc_record(r: Record, target: str | None) -> bytes:
     head, payload = r.parts()
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = head if target else r.block
-    when = datetime.strptime(r.date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
     http = r.kind == "response"
-    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if target else r.kind}", f"WARC-Record-ID: {r.record_id}", f"WARC-Date: {when}",
+    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if target else r.kind}", f"WARC-Record-ID: {r.record_id}", f"WARC-Date: {warc_date(r)}",
              f"WARC-Target-URI: {r.url}", f"WARC-Payload-Digest: {digest}",
              "WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()]
     if target:

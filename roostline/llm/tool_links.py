@@ -56,7 +56,7 @@ def violation(value, schema: dict, path: str = "$") -> str | None:
     """The first fault of a value against a schema: type, enum, bounds, lengths, properties, required, items."""
     if "type" in schema and not _is(value, schema["type"]):
         return f"{path}: not of type {schema['type']}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(x == value and isinstance(x, bool) == isinstance(value, bool) for x in schema["enum"]):
         return f"{path}: not one of the allowed values"
     if _is(value, "number") and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
         return f"{path}: out of bounds"
@@ -83,6 +83,7 @@ def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -
     try:
         value = parsed(arguments or "")
         text = canonical(value)
+        text.encode()  # half of a surrogate pair is no text
     except (ValueError, RecursionError):
         return None, "$: no JSON"
     return text, f"unknown tool {name}" if name not in schemas else violation(value, schemas[name])
@@ -143,7 +144,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     ``linked`` or ``orphan``; other messages and those without an id are ``none``. ``position`` counts the messages of a
     conversation from 0 in topological order: by depth (a result has the depth of its call), then turn,
     then id, calls before results. Arguments are checked against the tool's schema; json is canonical. A call with arguments that do not
-    parse has null arguments there. Null conversations form one; an empty table gives no rows.
+    parse, or that hold half of a surrogate pair, has null arguments there. Null conversations form one; an empty table gives no rows.
     """
     rows = staged(messages.withColumn("_row", F.monotonically_increasing_id()), "messages")
     per_kind = lambda kind: rows.where((F.col("kind") == kind) & F.col("call_id").isNotNull())
