@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -37,7 +38,8 @@ def build_session(app: str = "roostline", master: str | None = None, **conf: str
     return spark
 
 
-_areas: list[str] = []
+# Of the running thread: areas that one thread has open are nothing to another.
+_areas: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("areas", default=())
 
 
 def _root(spark: SparkSession) -> str:
@@ -63,17 +65,17 @@ def scratch(spark: SparkSession, label: str = "area") -> Iterator[str]:
     is lazy and reads them later.
     """
     area = scratch_dir(spark, label)
-    _areas.append(area)
+    before = _areas.set((*_areas.get(), area))
     try:
         yield area
     finally:
-        _areas.remove(area)
+        _areas.reset(before)
         remove_folder(spark, area)
 
 
 def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
     """A fresh folder path in the innermost open area, else in the scratch folder itself."""
-    return f"{_areas[-1] if _areas else _root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{(_areas.get() or (_root(spark),))[-1]}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
